@@ -6,12 +6,18 @@ import corpus_pipeline
 from docweave.llm.decontam import op5_decontaminate
 from docweave.llm.forced_bpe import op9_encode
 from docweave.llm.licenses import op4_licenses
+from docweave.llm.pii import op7_private
 from docweave.llm.quality import op2_quality
+from docweave.llm.quotes import op3_quotes
+from docweave.llm.secret_scan import op1_secrets
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
+    "op3_quotes": op3_quotes,
     "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
+    "op7_private": op7_private,
     "op9_encode": op9_encode,
     "pipeline": corpus_pipeline.run,
 }
