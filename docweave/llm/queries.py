@@ -6,6 +6,7 @@ import corpus_pipeline
 from docweave.llm.decontam import op5_decontaminate
 from docweave.llm.forced_bpe import op9_encode
 from docweave.llm.licenses import op4_licenses
+from docweave.llm.phrases import op8_phrases
 from docweave.llm.pii import op7_private
 from docweave.llm.quality import op2_quality
 from docweave.llm.quotes import op3_quotes
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
     "op7_private": op7_private,
+    "op8_phrases": op8_phrases,
     "op9_encode": op9_encode,
     "pipeline": corpus_pipeline.run,
 }

@@ -94,19 +94,21 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES):
         at = to
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work, also: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of every row, then those that ``work`` makes of the whole texts.
 
     ``work`` gets a string array and returns one Arrow array or list for each of ``fields`` (a
-    DDL string). A result replaces a kept column of the same name.
+    DDL string); ``also`` names columns that it gets beside the texts. A result replaces a kept
+    column of the same name.
     """
     from pyspark.sql import types as T
 
     made = T._parse_datatype_string(fields) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(fields)
     new = {f.name.lower() for f in made}
     keep = [c for c in keep if c.lower() not in new]
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(df, "_text")))
-    schema = T.StructType([*kept.schema.fields[:-1], *made.fields])
+    more = [F.col(f"`{c}`").alias(free_name(df, f"_also{i}")) for i, c in enumerate(also)]
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(df, "_text")), *more)
+    schema = T.StructType([*kept.schema.fields[: len(keep)], *made.fields])
     n, cut_at = len(keep), CHUNK_BYTES
 
     def run(batches):
@@ -115,7 +117,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work) -> Da
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for part in chunks(batch, n, cut_at):
-                out = work(part.column(n))
+                out = work(*part.columns[n:])
                 columns = [*part.columns[:n], *(x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(out))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
