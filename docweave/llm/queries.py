@@ -6,6 +6,7 @@ import corpus_pipeline
 from docweave.llm.decontam import op5_decontaminate
 from docweave.llm.forced_bpe import op9_encode
 from docweave.llm.licenses import op4_licenses
+from docweave.llm.near_dup import op6_near_dup
 from docweave.llm.phrases import op8_phrases
 from docweave.llm.pii import op7_private
 from docweave.llm.quality import op2_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quotes": op3_quotes,
     "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
+    "op6_near_dup": op6_near_dup,
     "op7_private": op7_private,
     "op8_phrases": op8_phrases,
     "op9_encode": op9_encode,
