@@ -1,33 +1,66 @@
-"""A corpus from documents: quality rules, near duplicates, benchmark passages, personal data, token ids."""
+"""A corpus from documents: quality rules, near duplicates, benchmark passages, personal data, token ids.
+
+Each stage works on all that the one before it kept and returns the columns of documents; the
+last one returns token ids in place of the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import forced_bpe, quality
-from docweave.llm.tables import cut
+from docweave.llm import decontam, forced_bpe, near_dup, pii, quality
+from docweave.llm.tables import cut, map_text, sized
+
+
+def _rewritten(docs: DataFrame, columns: list[str], change, by: str) -> DataFrame:
+    """Documents whose texts ``change(text, row[by])`` makes anew; n_chars follows."""
+    work = lambda texts, found: [[change(t, f) for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True)]]
+    out = map_text(docs, "text", [c for c in columns if c != "text"], "text string", work, also=(by,))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject; common lines go from the rest."""
-    columns = docs.columns
-    judged = quality.apply_rules(docs).where("kept")
-    strip = F.udf(quality.without_lines, "string")
-    text = F.when(F.size("common_lines") > 0, strip("text", "common_lines")).otherwise(F.col("text"))
-    return judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    """Documents that the quality rules reject go; lines that a host's documents share go from the rest."""
+    return _rewritten(quality.apply_rules(docs).where("kept"), docs.columns, quality.without_lines, "common_lines")
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one of smallest id."""
+    found = cut(near_dup.near_duplicates(docs).where("kept").select(F.col("id").alias("_id")), "kept")
+    out = docs.join(sized(found.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    with_id = found.where("_id is not null")
+    if with_id.count() > with_id.distinct().count():  # rows repeat an id: one of them stays
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages by the contract's rule go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.decontaminate(docs, benchmark, keep=docs.columns).where("not contaminated").select(docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are replaced."""
+    return _rewritten(pii.find_private(docs, keep=docs.columns), docs.columns, pii.sanitise, "spans")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text."""
+    """Token ids in place of each text."""
     return forced_bpe.encode(docs)
 
 
 STAGES = [
     ("quality", rules),
+    ("near_duplicates", unique),
+    ("decontamination", uncontaminated),
+    ("private", private),
     ("encode", encode),
 ]
-#: Stages beyond SQL are tested against brute-force versions.
+#: SQL expresses neither the tokenizer nor disclosure; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from docweave.llm.decontam import op5_decontaminate
 from docweave.llm.forced_bpe import op9_encode
+from docweave.llm.interp_lm import op10_score
 from docweave.llm.licenses import op4_licenses
 from docweave.llm.near_dup import op6_near_dup
 from docweave.llm.phrases import op8_phrases
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_private": op7_private,
     "op8_phrases": op8_phrases,
     "op9_encode": op9_encode,
+    "op10_score": op10_score,
     "pipeline": corpus_pipeline.run,
 }
 
