@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,8 +73,6 @@ def reply_lines(c: Column) -> Column:
 
 def json_of(c: Column) -> Column:
     """The first balanced JSON object in noisy text, without comments; "{}" if there is none (STR8)."""
-    import pandas as pd
-
     def scan(text: str | None) -> str:
         import json
         import re
@@ -154,8 +153,6 @@ def args_key(prefix: str, *args: Column) -> Column:
 
 def content_id(content: Column, kb: Column) -> Column:
     """xxh64 (seed 0) of content and base, as hex."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         import xxhash

@@ -186,7 +186,7 @@ def heading_chunks(pages: DataFrame) -> DataFrame:
     whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", marked.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     parts = whole.select("doc_id", F.posexplode(F.split("t", r"(?m)(?=^#{1,6} )")).alias("pos", "t"))
     markers = F.transform(F.regexp_extract_all("t", F.lit(r"\[PAGE:(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
-    text = F.trim(F.regexp_replace("t", r"\[PAGE:\d+\]\n?", ""))
+    text = F.regexp_replace(F.regexp_replace("t", r"\[PAGE:\d+\]\n?", ""), r"^\s+|\s+$", "")
     return parts.select("doc_id", "pos", F.concat_ws("_", "doc_id", "pos").alias("chunk_id"), text.alias("text"), markers.alias("markers"))
 
 
