@@ -60,7 +60,7 @@ def measure(texts: pa.Array, lines_only: bool = False) -> list:
     for text in texts.cast(pa.large_binary()).to_pylist():
         text = text or b""
         seen, k, s, dup = set(), [], [], 0
-        longest, mark = -1, 0
+        longest, mark = b"", 0
         for line in text.split(b"\n"):
             words = line.split()
             if not words:
@@ -70,8 +70,8 @@ def measure(texts: pa.Array, lines_only: bool = False) -> list:
             h = line_key(words)
             k.append(h)
             s.append(len(words))
-            if len(line) > longest or len(line) == longest and h < mark:
-                longest, mark = len(line), h
+            if len(line) > len(longest) or len(line) == len(longest) and line < longest:
+                longest, mark = line, h
         keys.append(k)
         sizes.append(s)
         marks.append(mark)
@@ -163,7 +163,7 @@ def _marked(rows: DataFrame, held) -> DataFrame:
             hit = [[i for i, k in enumerate(ks) if k in held.value.get(h, ())] for h, ks in zip(b.column(host).to_pylist(), b.column(keys).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)), pa.array(hit, arrow.field(len(arrow) - 1).type)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInArrow(run, schema)  # names may hold dots
 
 
 def without_lines(text: str | None, positions: list[int]) -> str | None:

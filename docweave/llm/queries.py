@@ -8,6 +8,7 @@ from docweave.llm.forced_bpe import op9_encode
 from docweave.llm.interp_lm import op10_score
 from docweave.llm.licenses import op4_licenses
 from docweave.llm.near_dup import op6_near_dup
+from docweave.llm.oracles import ORACLES
 from docweave.llm.phrases import op8_phrases
 from docweave.llm.pii import op7_private
 from docweave.llm.quality import op2_quality
@@ -28,4 +29,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
