@@ -259,3 +259,54 @@ def estimate(spark, sf):
 def reply_clean(spark, sf):
     raw = F.concat(F.lit('<think>why\nnot</think>```json\n输出: "Answer: '), F.regexp_replace(F.substring("text", 1, 40), "^[ \t\n\"']+|[ \t\n\"']+$", ""), F.lit('"```'))
     return Tables(spark, sf).documents.select("doc_id", tx.cleaned_reply(raw).alias("reply"))
+
+
+@query("stream_latest", "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as step from events group by 1")
+def stream_latest(spark, sf):
+    """The last step of each user, from a stream over the events' files that takes what is there."""
+    import uuid
+
+    from docweave.streaming import jobs
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = Tables(spark, sf).events.schema
+    rows = lambda df: df.select("user_id", "event_id", F.col("event_type").alias("step"))
+    work = lambda df, n: jobs.latest(rows(df), "user_id", "event_id", ["step"]).write.mode("overwrite").parquet(f"{place}/out/batch={n}")
+    jobs.ingest(spark, f"{sf}/events*.parquet", schema, work, f"{place}/state").awaitTermination()
+    return jobs.latest(spark.read.parquet(f"{place}/out"), "user_id", "event_id", ["step"])
+
+
+@query("job_status", "select user_id, case when n is null then 'not_found' when n = 0 then 'pending' when n < 7 then 'started' else 'finished' end as status from (select user_id, count(*) filter (event_type = 'purchase') as n from events group by 1)")
+def job_status(spark, sf):
+    from docweave.streaming import jobs
+
+    steps = Tables(spark, sf).events.groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("n"))
+    return steps.select("user_id", jobs.status(F.col("n")).alias("status"))
+
+
+@query("state_fold", "select conv_id, (list(text order by turn) filter (role = 'user' and turn <= 4 and text <> ''))[-1] as user, (list(text order by turn) filter (role = 'assistant' and turn <= 4 and text <> ''))[-1] as assistant from conversations group by 1 having count(*) filter (turn <= 4 and text <> '') > 0")
+def state_fold(spark, sf):
+    from docweave.streaming import state
+
+    c = Tables(spark, sf).conversations
+    events = c.select(F.col("conv_id").alias("thread"), F.lit("main").alias("branch"), F.col("turn").alias("seq"), F.col("role").alias("key"), F.col("text").alias("value"))
+    out = state.state_at(events, 4)
+    return out.select(F.col("thread").alias("conv_id"), F.try_element_at("state", F.lit("user")).alias("user"), F.try_element_at("state", F.lit("assistant")).alias("assistant"))
+
+
+@query("message_log", "select conv_id, list(role order by turn) as log from conversations group by 1")
+def message_log(spark, sf):
+    from docweave.streaming import state
+
+    return state.log(Tables(spark, sf).conversations.select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("payload")), ["conv_id"])
+
+
+@query("parser_choice", "select page_id, case page_id % 3 when 0 then 'pdf' when 1 then 'text' end as parser from pages")
+def parser_choice(spark, sf):
+    from docweave.sources.readers import parser_of
+
+    m = F.col("page_id") % 3
+    name = F.when(m == 0, "Doc.PDF").when(m == 1, "noext").otherwise("pic.png")
+    kind = F.when(m == 1, "Text/Markdown; charset=utf-8").otherwise("image/png")
+    return Tables(spark, sf).pages.select("page_id", parser_of(name, kind).alias("parser"))
