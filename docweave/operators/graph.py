@@ -90,7 +90,7 @@ def _written(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder, so that an iteration does not grow the plan."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
