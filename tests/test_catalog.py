@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -12,7 +13,7 @@ import pytest
 
 import __spark_entry__
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
