@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.tables import cut, map_text, release
+from docweave.llm.tables import chunks, cut, map_text, release
 from docweave.llm.words import mix, rows_of, scan
 
 KINDS = ("email", "ip", "card", "phone")
@@ -153,7 +153,7 @@ def revealing_terms(docs: DataFrame, *, text: str = "text", min_support: int = M
     that copies of one document prove nothing. n(t) counts all documents with the term, N all.
     """
     spark = docs.sparkSession
-    one = docs.select(F.col(f"`{text}`").alias("text"))
+    one = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     rows = map_text(one, "text", [], "c array<struct<entity: bigint, term: bigint, mark: bigint>>", contexts).select(F.inline("c"))
     rows = cut(rows.distinct(), "contexts")
     pairs = rows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
@@ -163,16 +163,19 @@ def revealing_terms(docs: DataFrame, *, text: str = "text", min_support: int = M
     for (wanted,) in _blocks(pairs.select("term").distinct(), []):
         held = spark.sparkContext.broadcast((wanted, filter_of(wanted)))
 
-        def present(texts: pa.Array, held=held) -> list:
-            w = scan(texts, _letters(), lower=True)
-            at = _among(w.hash, *held.value)
-            row = rows_of(w.first)[at]
-            out: list[list] = [[] for _ in range(len(texts))]
-            for r, t in sorted(set(zip(row.tolist(), _signed(w.hash[at]), strict=True))):
-                out[r].append(t)
-            return [out]
-
-        parts.append(map_text(one, "text", [], "t array<bigint>", present).select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+        def counted(batches, held=held):
+            wanted, bits = held.value
+            n = np.zeros(len(wanted), np.int64)  # documents of this partition with each term
+            for batch in batches:
+                for part in chunks(batch, 0):
+                    w = scan(part.column(0), _letters(), lower=True)
+                    at = _among(w.hash, wanted, bits)
+                    once = np.unique(rows_of(w.first)[at] * len(wanted) + np.searchsorted(wanted, w.hash[at]))
+                    n += np.bincount(once % len(wanted), minlength=len(wanted))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(n[some])], names=["term", "n"])
+
+        parts.append(one.mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")))
     if not parts:
         return spark.createDataFrame([], "term bigint, removed boolean")
     counts = parts[0]
@@ -219,12 +222,14 @@ def find_private(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     release(told)
     fields = "spans array<struct<kind: string, start: bigint, end: bigint>>"
     held = spark.sparkContext.broadcast([(w, r, filter_of(w)) for w, r in sets[:1]])
-    out = map_text(docs, text, keep if len(sets) < 2 else [*keep, text], fields, lambda t: spans_of(t, held.value))
+    carried = [text] if len(sets) > 1 and text not in keep else []
+    out = map_text(docs, text, [*keep, *carried], fields, lambda t: spans_of(t, held.value))
     for i, (w, r) in enumerate(sets[1:], 2):
         more = spark.sparkContext.broadcast([(w, r, filter_of(w))])
-        out = map_text(out.withColumnRenamed("spans", "_s"), text, [*keep, "_s", *[text] * (i < len(sets))], fields, lambda t, more=more: spans_of(t, more.value))
-        new = F.filter("spans", lambda x: x["kind"].isin("generalised", "removed"))
-        out = out.withColumn("spans", F.concat("_s", new)).drop("_s")
+        out = map_text(out.withColumnRenamed("spans", "_s"), text, [*keep, "_s", *(carried if i < len(sets) else [])], fields, lambda t, more=more: spans_of(t, more.value))
+        told = lambda c: F.filter(c, lambda x: x["kind"].isin("generalised", "removed"))
+        base = F.filter("_s", lambda x: x["kind"].isin(*KINDS))
+        out = out.withColumn("spans", F.concat(base, F.array_sort(F.concat(told("_s"), told("spans"))))).drop("_s")
     return out
 
 
