@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.tables import cut, release
+from docweave.llm.tables import cut, release, sized
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -13,32 +13,32 @@ def roots(parents: DataFrame) -> DataFrame:
     at = cut(parents.select("id", F.col("parent").alias("root")), "roots")
     while True:
         up = at.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        step = cut(at.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        step = cut(at.join(sized(up), "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
         release(at)
         at = step.select("id", "root")
         if not step.where("moved").take(1):
             return at
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame | None, spark: SparkSession) -> DataFrame:
     """(id, component) of every end of the links (a, b): the smallest id that it reaches.
 
     Each round hangs every node on its smallest neighbour, follows these pointers to their ends
     and contracts the links; nodes that still have links halve at least.
     """
-    links = cut(links.select("a", "b").where("a <> b").distinct(), "links")
     labels = None
-    while links.take(1):
+    if links is not None:
+        links = cut(links.select("a", "b").where("a <> b").distinct(), "links")
+    while links is not None and links.take(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent"))
-        top = roots(low.where("parent < id"))
+        low = cut(low.withColumn("parent", F.least("id", "parent")), "low")
+        top = sized(roots(low.where("parent < id")))
         if labels is None:
-            ends = both.select(F.col("a").alias("id")).distinct()
-            labels = cut(ends.join(top, "id", "left").select("id", F.coalesce("root", "id").alias("component")), "labels")
+            labels = cut(low.join(top, "id", "left").select("id", F.coalesce("root", "id").alias("component")), "labels")
         else:
             labels = cut(labels.join(top.select(F.col("id").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
         a, b = top.select(F.col("id").alias("a"), F.col("root").alias("ra")), top.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        links = cut(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct(), "links")
-    if labels is None:
-        labels = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels
+        moved = links.join(sized(a), "a", "left").join(sized(b), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        links = cut(moved.where("a <> b").distinct(), "links")
+    return spark.createDataFrame([], "id bigint, component bigint") if labels is None else labels

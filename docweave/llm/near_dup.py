@@ -6,8 +6,11 @@ share fewer than ``need`` (3/8 of k) belong to a pair below it, but for a chance
 Two sets that share so many values share one of the k - need + 1 values that either holds first
 in any common order; the order puts values of long lists last. Inverted lists of these values
 give the candidates. Lists of at most ``LIST`` documents give all pairs; longer ones give pairs
-with pivots, until what is left apart is paired in full. Union sketches estimate the similarity
-and drop what is far below; the full sets decide.
+with pivots, which join most of a group of copies. What is left apart in them goes through
+inverted lists of full sets, rarest values first: two linked sets of n share 6/7 of n values, so
+the first that they share is among the n/7 + 1 rarest of both, and these are seldom common ones
+in a document that is far from its group. Union sketches estimate the similarity and drop what is
+far below; the full sets decide.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ SHINGLE, PERCENT = 5, 75
 K = 64
 #: Documents of a list that gives all its pairs.
 LIST = 32
-#: Rounds of pivots in longer lists.
-ROUNDS = 4
+#: Of a document's values in longer lists, so many of the most common ones lead to pivots.
+PIVOTS = 4
 #: Standard deviations of the estimate that a pair may lie below the similarity.
 SLACK = 6
 
@@ -59,40 +62,51 @@ def need(n: int, k: int, percent: int) -> int:
 
 
 def _first_values(ids, sizes, sketches, popular: dict[int, int], k: int, percent: int):
-    """(value, long) that each sketch holds first: rare values by value, then those of long lists by length."""
+    """What each sketch holds first: rare values by value, then those of long lists by length; and how many are of these."""
     for i, n, s in zip(ids, sizes, sketches, strict=True):
-        order = sorted(s, key=lambda v: (popular.get(v, 0), v))
-        yield i, n, [{"value": v, "long": v in popular} for v in order[: len(s) - need(n, k, percent) + 1]]
+        order = sorted(s, key=lambda v: (popular.get(v, 0), v))[: len(s) - need(n, k, percent) + 1]
+        rare = [v for v in order if v not in popular]
+        yield i, n, sum(v in popular for v in s), [{"value": v, "long": v in popular} for v in [*rare, *order[len(rare) :][-PIVOTS:]]]
 
 
 def list_rows(reps: DataFrame, popular: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, value, long) of the values that each sketch holds first."""
+    """(id, n, common, value, long) of the values that each sketch holds first; common: its values of long lists."""
     if small(popular):
         held = reps.sparkSession.sparkContext.broadcast({r.value: r.n for r in popular.collect()})  # bounded by small()
+        shape = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("value", pa.int64()), ("long", pa.bool_())]))]
 
         def run(batches):
             for b in batches:
                 rows = list(_first_values(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), held.value, k, percent))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("value", pa.int64()), ("long", pa.bool_())])))], names=["id", "n", "first"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(shape)], names=["id", "n", "common", "first"])
 
-        return reps.select("id", "n", "sketch").mapInArrow(run, "id bigint, n bigint, first array<struct<value: bigint, long: boolean>>").select("id", "n", F.inline("first"))
+        return reps.select("id", "n", "sketch").mapInArrow(run, "id bigint, n bigint, common int, first array<struct<value: bigint, long: boolean>>").select("id", "n", "common", F.inline("first"))
     rows = reps.select("id", "n", F.explode("sketch").alias("value")).join(popular.select("value", F.col("n").alias("length")), "value", "left")
     each = F.array_sort(F.collect_list(F.struct(F.coalesce("length", F.lit(0)).alias("length"), "value")))
     exact = F.ceil(F.col("n") * percent / 100)
     asked = F.when(F.col("n") * 100 <= percent * k, exact).otherwise(F.least(exact, F.lit(k * 3 // 8)))
-    rows = rows.groupBy("id", "n").agg(each.alias("each"))
-    return rows.select("id", "n", F.explode(F.slice("each", F.lit(1), (F.size("each") - asked + 1).cast("int"))).alias("x")).select("id", "n", "x.value", (F.col("x.length") > 0).alias("long"))
+    rows = rows.groupBy("id", "n").agg(each.alias("each"), F.count("length").cast("int").alias("common"))
+    first = F.slice("each", F.lit(1), (F.size("each") - asked + 1).cast("int"))
+    rare, often = F.filter("first", lambda x: x["length"] == 0), F.filter("first", lambda x: x["length"] > 0)
+    rows = rows.withColumn("first", first).withColumn("x", F.explode(F.concat(rare, F.reverse(F.slice(F.reverse(often), 1, PIVOTS)))))
+    return rows.select("id", "n", "common", "x.value", (F.col("x.length") > 0).alias("long"))
 
 
 def _near(n1: str, n2: str, percent: int):
     return (F.least(n1, n2) * 100) >= (F.greatest(n1, n2) * percent)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, k: int, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``docs`` has id and text."""
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, s): the sets of the documents (id, text) that are named."""
+    mine = docs.join(sized(cut(ids, "ids")), "id", "left_semi")
+    return cut(map_text(mine, "text", ["id"], "s array<bigint>", lambda t: [[x.view(np.int64) for x in shingle_sets(t, shingle)]]), "sets")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, k: int, shingle: int, percent: int) -> DataFrame | None:
+    """The pairs (a, b) whose full sets are similar enough; ``docs`` has id and text. None if there are none."""
     pairs = cut(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "pairs")
+    if not pairs.take(1):
+        return None
     sketch = reps.select("id", "sketch")
     both = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
     # the union's sketch: its k smallest values; the share of them in both sketches estimates
@@ -103,11 +117,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, k: int, shin
     floor = F.lit(p) - SLACK * F.sqrt(F.lit(p * (1 - p)) / F.size("su"))
     likely = cut(both.where(share >= floor).select("a", "b"), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = map_text(docs.join(sized(cut(ids, "ids")), "id", "left_semi"), "text", ["id"], "s array<bigint>", lambda t: [[x.view(np.int64) for x in shingle_sets(t, shingle)]])
-    sets = cut(sets, "sets")
+    sets = full_sets(docs, ids, shingle)
     full = likely.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return cut(full.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"), "links")
+    links = cut(full.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"), "links")
+    return links if links.take(1) else None
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -118,21 +132,51 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return two.where(_near("x.n", "y.n", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def pivot_pairs(rows: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Pairs of the long lists' documents with their list's pivot, where the two are still apart."""
-    pivots = rows.groupBy("value").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(round_))).alias("p"))
-    met = rows.join(sized(cut(pivots, "pivots")), "value").where(F.col("component") != F.col("p.component"))
-    return met.where(_near("n", "p.n", percent)).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the long lists' documents with their list's pivot.
+
+    The pivots are the documents with most common values, likely the sources of copies.
+    """
+    pivots = rows.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("common", F.xxhash64("id"))).alias("p"))
+    met = rows.join(sized(cut(pivots, "pivots")), "value").where((F.col("id") != F.col("p.id")) & _near("n", "p.n", percent))
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
 
+def apart_links(mine: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Links (a, b) among documents (id, component) of different components, by lists of full sets.
 
-def apart_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of the long lists' documents that are still apart: those outside a list's main component, with all."""
-    sizes = rows.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = cut(sizes.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "main")
-    rows = rows.join(sized(main.select("value", "main")), "value")
-    rest = rows.where("component <> main").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    met = rows.join(rest, "value").where(F.col("component") != F.col("cx")).where(_near("n", "nx", percent))
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+    Values are ordered by how many of these documents hold them. Linked sets of n and m values
+    share p/(1+p) (n + m) at least, so the first value that they share has so many from it on in
+    both. The sets come along and are compared as lists meet, so that only links are made.
+    """
+    sets = full_sets(docs, mine.select("id"), shingle)
+    values = sets.select("id", F.explode("s").alias("value"))
+    held = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+    n = F.size("s")
+    met = values.join(held, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("each"))
+    met = met.join(sets, "id").join(mine, "id").select("id", "component", "s", n.alias("n"), F.posexplode("each").alias("i", "x"), (n - F.size("each")).alias("alone"))
+    pos = F.col("alone") + F.col("i")  # values that no other document has come first
+    met = met.where(pos <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    lists = cut(met.select("id", "component", "s", "n", pos.alias("pos"), F.col("x.value").alias("value")), "lists")
+    sizes = lists.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lists = lists.join(sized(cut(main.select("value", "main"), "main")), "value")
+    rest = lists.where("component <> main").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("pos").alias("px"), F.col("s").alias("sx"))
+    least = F.ceil((F.col("n") + F.col("nx")) * percent / (100 + percent))
+    far = (F.col("pos") <= F.col("n") - least) & (F.col("px") <= F.col("nx") - least)
+    common = F.size(F.array_intersect("s", "sx"))
+    linked = F.when(far, common * 100 >= (F.col("n") + F.col("nx") - common) * percent).otherwise(F.lit(False))
+    other = lists.withColumnRenamed("value", "v")
+    found = other.join(rest, (other.v == rest.value) & (F.col("component") != F.col("cx")) & linked)
+    found = cut(found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "links")
+    return found if found.take(1) else None
+
+
+def _union(parts: list[DataFrame | None]) -> DataFrame | None:
+    out = None
+    for p in parts:
+        out = p if out is None else out if p is None else out.unionByName(p)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -144,6 +188,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     are linked with nothing, have no component and are kept; rows of equal ids are one document
     with several texts. Extra columns are left out.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     marks = cut(map_text(base, "text", ["id"], "n bigint, s1 bigint, s2 bigint, sketch array<bigint>", lambda t: _sketches(t, shingle, k)), "sketches")
     mine = marks.where("id is not null and n > 0")
@@ -153,21 +198,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = base.join(sized(classes.select(F.col("class").alias("id")).distinct()), "id", "left_semi")
     popular = cut(reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST), "popular")
     rows = list_rows(reps, popular, k, percent)
-    long = cut(rows.where("long").select("id", "n", "value"), "long")
+    long = cut(rows.where("long").select("id", "n", "common", "value"), "long")
     check = lambda pairs: verified(pairs, reps, texts, k=k, shingle=shingle, percent=percent)
-    links = check(all_pairs(rows.where("not long"), percent))
-    labels = components(links)
-
-    def labelled() -> DataFrame:
-        return long.join(labels, "id", "left").select("id", "n", "value", F.coalesce("component", "id").alias("component"))
-
+    parts = [check(all_pairs(rows.where("not long"), percent))]
+    if long.take(1):
+        parts.append(check(pivot_pairs(long, percent)))
+    labels = components(_union(parts), spark)
     if long.take(1):
-        for i in range(ROUNDS + 1):
-            now = cut(labelled(), "long")
-            found = check(pivot_pairs(now, i, percent) if i < ROUNDS else apart_pairs(now, percent))
-            if found.take(1):
-                links = links.unionByName(found)
-                labels = components(links)
+        mine = cut(long.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "apart")
+        if mine.select("component").distinct().limit(2).count() > 1:
+            found = apart_links(mine, texts, shingle, percent)
+            if found is not None:
+                labels = components(_union([*parts, found]), spark)
     named = sized(classes.join(labels, F.col("class") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component")))
     out = marks.join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
