@@ -10,21 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontam, forced_bpe, near_dup, pii, quality
-from docweave.llm.tables import cut, map_text, sized
-
-
-def _rewritten(docs: DataFrame, columns: list[str], change, by: str) -> DataFrame:
-    """Documents whose texts ``change(text, row[by])`` makes anew; n_chars follows."""
-    work = lambda texts, found: [[change(t, f) for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True)]]
-    out = map_text(docs, "text", [c for c in columns if c != "text"], "text string", work, also=(by,))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(columns)
+from docweave.llm.tables import cut, rewritten, sized
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; lines that a host's documents share go from the rest."""
-    return _rewritten(quality.apply_rules(docs).where("kept"), docs.columns, quality.without_lines, "common_lines")
+    return rewritten(quality.apply_rules(docs).where("kept"), "text", quality.without_lines, "common_lines", docs.columns, "n_chars")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +36,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced."""
-    return _rewritten(pii.find_private(docs, keep=docs.columns), docs.columns, pii.sanitise, "spans")
+    return rewritten(pii.find_private(docs, keep=docs.columns), "text", pii.sanitise, "spans", docs.columns, "n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

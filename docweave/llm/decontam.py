@@ -108,7 +108,7 @@ def decontaminate(
         last = block == blocks - 1
         mine = [f"_n{block}", f"_items{block}", f"_spans{block}"]
         names.append(mine)
-        carried = [*keep, *(x for y in names[:-1] for x in y), *([] if last else [text])]
+        carried = [*keep, *(x for y in names[:-1] for x in y), *([] if last or text in keep else [text])]
         out = map_text(out, text, carried, f"{mine[0]} bigint, {mine[1]} array<string>, {mine[2]} array<struct<at: bigint, to: bigint>>", lambda t, held=held: find(t, held.value))
     items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(x[1]) for x in names]))))
     spans = F.array_sort(F.flatten(F.array(*[F.col(x[2]) for x in names])))

@@ -162,7 +162,10 @@ def train(training: DataFrame, core: int = CORE) -> tuple[Model, DataFrame]:
     p0 = np.where(w == rest, kinds - rest + 1, 1) / (kinds + 1)
     by_count = bucket(kept_count)
     buckets = int(max(bucket(count).max(initial=0), by_count.max(initial=0))) + 1
-    weights = learn_weights(h, by_count, p2, p1, p0, out, buckets) if some.any() else np.tile([0.0, 0.0, 1.0], (buckets, 1)) if not total else np.full((buckets, 3), 1 / 3)
+    if some.any():
+        weights = learn_weights(h, by_count, p2, p1, p0, out, buckets)
+    else:  # nothing was deleted: the parts weigh the same, or the uniform one all if there is no training text
+        weights = np.tile([1 / 3, 1 / 3, 1 / 3] if total else [0.0, 0.0, 1.0], (buckets, 1))
     return Model(hashes[order], order, count, total, kinds, kinds - rest, key, seen, weights), words.select("key", "n")
 
 
@@ -182,7 +185,7 @@ def score_texts(texts: pa.Array, m: Model, other: np.ndarray, other_count: np.nd
     p1 = m.count[ids] / max(1, m.total) * share
     weights = m.weights[bucket(m.count[h])]
     p = weights[:, 0] * p2 + weights[:, 1] * p1 + weights[:, 2] / (m.kinds + 1)
-    base = np.log10((count + 1) / (m.total + 1 * (m.kinds + 1)))
+    base = np.log10((count + 1) / (m.total + m.kinds + 1))
     total = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x  # noqa: E731  every text has its end
     return [np.diff(first), total((count > 0).astype(np.int64)), total(base), total(np.log10(p))]
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast or sent to the driver at once; keys and counts take at most 40 bytes.
 MAX_BROADCAST_ROWS = 1_000_000
-#: Bytes of text that executor-side code looks at in one go.
-CHUNK_BYTES = 4_000_000
+#: Bytes of text that executor-side code looks at in one go; arrays over them take 50 times as much.
+CHUNK_BYTES = 1_000_000
 
 _made: dict[str, SparkSession] = {}
 
@@ -72,14 +72,6 @@ def sized(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that the table does not have (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES):
     """Slices of a batch whose text column holds about ``most`` bytes each, one row at least."""
     import numpy as np
@@ -106,9 +98,9 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work, also:
     made = T._parse_datatype_string(fields) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(fields)
     new = {f.name.lower() for f in made}
     keep = [c for c in keep if c.lower() not in new]
-    more = [F.col(f"`{c}`").alias(free_name(df, f"_also{i}")) for i, c in enumerate(also)]
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(df, "_text")), *more)
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in also])
     schema = T.StructType([*kept.schema.fields[: len(keep)], *made.fields])
+    kept = kept.toDF(*[f"c{i}" for i in range(len(kept.columns))])  # mapInArrow takes dots in names for fields
     n, cut_at = len(keep), CHUNK_BYTES
 
     def run(batches):
@@ -122,3 +114,12 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work, also:
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return kept.mapInArrow(run, schema)
+
+
+def rewritten(df: DataFrame, text: str, change, by: str, columns: list[str], length: str | None = None) -> DataFrame:
+    """``columns`` of all rows with the texts that ``change(text, row[by])`` makes; ``length`` names a count of characters."""
+    work = lambda texts, found: [[change(t, f) for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True)]]
+    out = map_text(df, text, [c for c in columns if c != text], f"`{text}` string", work, also=(by,))
+    if length in columns:
+        out = out.withColumn(length, F.length(F.col(f"`{text}`")).cast(df.schema[length].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in columns])
