@@ -24,8 +24,8 @@ from docweave.llm.words import covered, scan, spaced, starts, windows
 WINDOW, PHRASE = 50, 26
 #: Places that one automaton's documents give, about; phrases with more are dealt over salts.
 SHARD = 4000
-#: Places in all whose list by document may be broadcast (8 bytes each).
-MAX_LISTED = 4_000_000
+#: Places, or bounds of stretches, whose lists by document may be broadcast (8 bytes each at most).
+MAX_LISTED = 1_000_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -63,14 +63,16 @@ def phrase_hashes(texts: pa.Array, window: int, phrase: int) -> list:
 def pieces(texts: pa.Array, wanted: pa.Array, window: int, phrase: int) -> list:
     """For each text, the places of its wanted phrases with the windows that name them.
 
-    A piece is (hash, first window's start, windows, the phrase's word in the piece, text of the
-    words of all its windows parted by spaces).
+    A piece is (hash, the starts of its first window, windows, the phrase's word in the piece, text
+    of the words of all its windows parted by spaces); what a text repeats is one piece with
+    several starts.
     """
     w, at, place, least = named(texts, window, phrase)
     begin = np.searchsorted(at, w.first)
+    raw, start, end = w.data.tobytes(), w.start.tolist(), w.end.tolist()
     out: list[list] = []
     for row, keys in enumerate(wanted.to_pylist()):
-        found: list = []
+        found: dict = {}
         a, b = int(begin[row]), int(begin[row + 1])
         if keys and b > a:
             ok = np.isin(least[a:b], np.array(keys, np.int64).view(np.uint64))
@@ -79,19 +81,31 @@ def pieces(texts: pa.Array, wanted: pa.Array, window: int, phrase: int) -> list:
                 if not ok[i]:
                     continue
                 s, p = int(at[a + i]), int(place[a + i])
-                words = b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[s : s + (j - i) + window - 1].tolist(), w.end[s : s + (j - i) + window - 1].tolist(), strict=True))
-                found.append({"h": int(least[a + i].view(np.int64)), "at": s - int(w.first[row]), "n": j - i, "lead": p - s, "words": words.decode()})
-        out.append(found)
+                e = s + (j - i) + window - 1
+                words = b" ".join([raw[x:y] for x, y in zip(start[s:e], end[s:e], strict=True)])
+                found.setdefault((int(least[a + i].view(np.int64)), j - i, p - s, words), []).append(s - int(w.first[row]))
+        out.append([{"h": h, "at": starts_, "n": n, "lead": lead, "words": text.decode()} for (h, n, lead, text), starts_ in found.items()])
     return [out]
 
 
-def window_keys(words: list[str], n: int, window: int) -> list[bytes]:
-    return [hashlib.blake2b(" ".join(words[i : i + window]).encode(), digest_size=16).digest() for i in range(n)]
+def word_starts(text: str) -> list[int]:
+    """Where the words of a text with single spaces begin, and one place past its last word."""
+    out, at = [0], text.find(" ")
+    while at >= 0:
+        out.append(at + 1)
+        at = text.find(" ", at + 1)
+    out.append(len(text) + 1)
+    return out
+
+
+def window_keys(text: str, begin: list[int], n: int, window: int) -> list[bytes]:
+    """Digests of the first n windows of a text with single spaces."""
+    return [hashlib.blake2b(text[begin[i] : begin[i + window] - 1].encode(), digest_size=16).digest() for i in range(n)]
 
 
 def hot_keys(texts: pa.Array, n: pa.Array, window: int) -> list:
     """For each piece, the digests of its windows."""
-    return [[window_keys(t.split(" "), k, window) for t, k in zip(texts.to_pylist(), n.to_pylist(), strict=True)]]
+    return [[window_keys(t, word_starts(t), k, window) for t, k in zip(texts.to_pylist(), n.to_pylist(), strict=True)]]
 
 
 def locate(table: pa.Table, window: int, phrase: int) -> pa.Table:
@@ -102,38 +116,38 @@ def locate(table: pa.Table, window: int, phrase: int) -> pa.Table:
     says it is; then the piece's windows are looked up among those of smaller doc_id.
     """
     import ahocorasick
-
-    rows = table.sort_by([("doc", "ascending")]).to_pylist()
-    owner: dict[bytes, int] = {r["key"]: r["owner"] for r in rows if r["key"] is not None}
-    rows = [r for r in rows if r["key"] is None]
+    import pyarrow.compute as pc
+
+    shape = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
+    known = table.filter(pc.is_valid(table["key"]))
+    owner: dict[bytes, int] = dict(zip(known["key"].to_pylist(), known["owner"].to_pylist(), strict=True))
+    table = table.filter(pc.is_null(table["key"])).sort_by([("doc", "ascending")])
+    if not len(table):
+        return shape.empty_table()
+    texts, leads = table["words"].to_pylist(), table["lead"].to_pylist()
+    begins = [word_starts(t) for t in texts]
     automaton = ahocorasick.Automaton()
-    split = []
-    for r in rows:
-        words = r["words"].split(" ")
-        split.append(words)
-        text = f" {' '.join(words[r['lead'] : r['lead'] + phrase])} "
-        if text not in automaton:
-            automaton.add_word(text, len(text))
-    out: dict[str, list] = {"row": [], "at": [], "to": []}
-    if not rows:
-        return pa.table(out, pa.schema([("row", pa.int64()), ("at", pa.int64()), ("to", pa.int64())]))
+    for t, begin, lead in zip(texts, begins, leads, strict=True):
+        named_ = f" {t[begin[lead] : begin[lead + phrase] - 1]} "
+        if named_ not in automaton:
+            automaton.add_word(named_, len(named_))
     automaton.make_automaton()
-    for r, words in zip(rows, split, strict=True):
-        text = f" {r['words']} "
-        lead = sum(len(x) + 1 for x in words[: r["lead"]])
-        if not any(end - size + 1 == lead for end, size in automaton.iter(text)):
+    out: list[list[int]] = [[], [], []]
+    columns = (table[c].to_pylist() for c in ("row", "doc", "at", "n"))
+    for t, begin, lead, row, doc, at, n in zip(texts, begins, leads, *columns, strict=True):
+        if not any(end - size + 1 == begin[lead] for end, size in automaton.iter(f" {t} ")):
             continue
         run = -1
-        for i, key in enumerate([*window_keys(words, r["n"], window), None]):
-            hit = key is not None and owner.setdefault(key, r["doc"]) < r["doc"]
+        for i, key in enumerate([*window_keys(t, begin, n, window), None]):
+            hit = key is not None and owner.setdefault(key, doc) < doc
             if hit and run < 0:
                 run = i
             elif not hit and run >= 0:
-                out["row"].append(r["row"])
-                out["at"].append(r["at"] + run)
-                out["to"].append(r["at"] + i - 1 + window)
+                for start in at:
+                    for column, value in zip(out, (row, start + run, start + i - 1 + window), strict=True):
+                        column.append(value)
                 run = -1
-    return pa.table(out, pa.schema([("row", pa.int64()), ("at", pa.int64()), ("to", pa.int64())]))
+    return pa.table(dict(zip(shape.names, out, strict=True)), shape)
 
 
 def repeated_stretches(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -147,12 +161,12 @@ def repeated_stretches(docs: DataFrame, *, window: int = WINDOW, phrase: int = P
     total = twice.agg(F.sum("places")).first()[0] or 0
     mine = listed.join(twice.select("h"), "h").groupBy("row").agg(F.collect_set("h").alias("wanted"))
     mine = F.broadcast(mine) if total <= MAX_LISTED else mine
-    found = map_text(docs.join(mine, "row"), "text", ["row", "doc"], "p array<struct<h: bigint, at: int, n: int, lead: int, words: string>>", lambda t, k: pieces(t, k, window, phrase), also=("wanted",))
+    found = map_text(docs.join(mine, "row"), "text", ["row", "doc"], "p array<struct<h: bigint, at: array<int>, n: int, lead: int, words: string>>", lambda t, k: pieces(t, k, window, phrase), also=("wanted",))
     found = found.select("row", "doc", F.inline("p"))
     hot = twice.where(F.col("places") > SHARD).select("h", F.ceil(F.col("places") / SHARD).cast("int").alias("salts"))
     # a shard's phrases: enough shards for the places, and as many salts for a hot phrase
     shards = max(1, total // SHARD)
-    shape = "row bigint, doc bigint, h bigint, at int, n int, lead int, words string, key binary, owner bigint"
+    shape = "row bigint, doc bigint, h bigint, at array<int>, n int, lead int, words string, key binary, owner bigint"
     if hot.take(1):
         hot = sized(cut(hot, "hot"))
         found = cut(found.join(hot, "h", "left"), "pieces")
@@ -168,15 +182,41 @@ def repeated_stretches(docs: DataFrame, *, window: int = WINDOW, phrase: int = P
     return rows.groupBy("shard", "salt").applyInArrow(lambda t: locate(t.select(names), window, phrase), "row bigint, at bigint, to bigint")
 
 
+def merged(stretches: DataFrame) -> DataFrame:
+    """(row, bounds): each row's stretches (row, at, to) as disjoint ones, begins and ends by turns."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for at, to in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                bounds: list[int] = []
+                for x, y in sorted(zip(at, to, strict=True)):
+                    if bounds and x <= bounds[-1]:
+                        bounds[-1] = max(bounds[-1], y)
+                    else:
+                        bounds += [x, y]
+                out.append(bounds)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["row", "bounds"])
+
+    lists = stretches.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("to").alias("to"))
+    return lists.mapInArrow(run, "row bigint, bounds array<int>")
+
+
 def _kept(texts: pa.Array, spans: pa.Array) -> list:
     w = scan(texts, spaced(), lower=False)
     n_words, removed, kept = np.diff(w.first), [], []
+    raw, start, end = w.data.tobytes(), w.start.tolist(), w.end.tolist()
     for row, found in enumerate(spans.to_pylist()):
         a, b = int(w.first[row]), int(w.first[row + 1])
-        gone = covered(b - a, np.array([x["at"] for x in found]), np.array([x["to"] - x["at"] for x in found])) if found else np.zeros(b - a, bool)
-        left = np.flatnonzero(~gone) + a
-        removed.append(int(gone.sum()))
-        kept.append(b" ".join([w.data[x:y].tobytes() for x, y in zip(w.start[left].tolist(), w.end[left].tolist(), strict=True)]).decode())
+        if found:
+            at = np.array(found)
+            gone = covered(b - a, at[::2], at[1::2] - at[::2])
+            left = (np.flatnonzero(~gone) + a).tolist()
+            removed.append(b - a - len(left))
+            kept.append(b" ".join([raw[start[i] : end[i]] for i in left]).decode())
+        else:
+            removed.append(0)
+            kept.append(b" ".join([raw[x:y] for x, y in zip(start[a:b], end[a:b], strict=True)]).decode())
     return [n_words, removed, kept]
 
 
@@ -193,9 +233,10 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ids = F.col(f"`{doc_id}`").cast("bigint")
     key = F.xxhash64(ids, F.col(f"`{text}`"))
     found = repeated_stretches(docs.select(key.alias("row"), ids.alias("doc"), F.col(f"`{text}`").alias("text")).where("doc is not null"), window=window, phrase=phrase)
-    found = cut(found.groupBy("row").agg(F.collect_set(F.struct("at", "to")).alias("_spans")), "stretches")
-    rows = docs.withColumn("_row", key).join(sized(found.withColumnRenamed("row", "_row"), 200_000), "_row", "left")
-    return map_text(rows, text, keep, "n_words bigint, n_removed bigint, kept_text string", _kept, also=("_spans",))
+    found = cut(merged(found).withColumnsRenamed({"row": "_row", "bounds": "_bounds"}), "stretches")
+    few = (found.agg(F.sum(F.size("_bounds"))).first()[0] or 0) <= MAX_LISTED
+    rows = docs.withColumn("_row", key).join(F.broadcast(found) if few else found, "_row", "left")
+    return map_text(rows, text, keep, "n_words bigint, n_removed bigint, kept_text string", _kept, also=("_bounds",))
 
 
 def op8_phrases(spark, sf_dir: str) -> DataFrame:
