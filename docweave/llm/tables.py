@@ -86,6 +86,16 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES):
         at = to
 
 
+def trim() -> None:
+    """Hand memory that a Python worker no longer uses back to the system: Spark keeps workers for later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    release_heap = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release_heap:
+        release_heap(0)
+
+
 def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work, also: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of every row, then those that ``work`` makes of the whole texts.
 
@@ -112,6 +122,8 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, work, also:
                 out = work(*part.columns[n:])
                 columns = [*part.columns[:n], *(x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(out))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                del out, columns
+        trim()
 
     return kept.mapInArrow(run, schema)
 
