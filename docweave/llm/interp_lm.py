@@ -2,11 +2,9 @@
 
 Maximum-likelihood bigram, unigram and uniform estimates are mixed with weights that depend on
 how often the context was seen, in powers of two. Expectation-maximisation learns the weights
-from a deleted part of the training texts: estimates come from the rest. Bigrams are counted
-over classes: the CORE most frequent words, the end of a text, and one class of all other words,
-within which a word's share is its count plus one. The table of bigrams therefore has a bound,
-(CORE + 2) squared, and is broadcast; the counts of all words have none and are joined to blocks
-of documents.
+from a deleted part of the training texts: estimates come from the rest. All words and all their
+bigrams are counted, in one table that grows with the corpus and is joined to blocks of documents;
+only the most frequent keys of it are broadcast, which changes no result.
 """
 
 from __future__ import annotations
@@ -18,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.tables import CHUNK_BYTES, chunks, cut
+from docweave.llm.tables import CHUNK_BYTES, chunks, cut, release
 from docweave.llm.words import mix, scan, spaced
 
-#: Words with a class of their own: at most 4 million bigrams of 12 bytes.
-CORE = 2000
+#: Keys, of words and bigrams, whose counts are broadcast at most; the others' are joined.
+CORE = 1_000_000
+#: Keys gathered before those that repeat in a block are dropped.
+ASKED = 1 << 20
 #: Parts of the documents by crc32 of their id: one is held out, one is deleted to learn weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Rounds of expectation-maximisation at most.
@@ -34,20 +34,12 @@ END = int(mix(np.array([0xE0D], np.uint64))[0])
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted hashes of the core words and the end
-    class_of: np.ndarray  # their classes, from 0; then the rest's, and the start's as a context
-    count: np.ndarray  # training tokens of each class; texts for the start
+    key: np.ndarray  # sorted keys of the most frequent words and bigrams
+    seen: np.ndarray  # their training tokens
     total: int  # training tokens
     kinds: int  # distinct ones
-    rest_kinds: int  # distinct ones in the rest's class
-    key: np.ndarray  # sorted bigrams: context's class times classes, plus the class
-    seen: np.ndarray
     weights: np.ndarray  # by bucket: bigram, unigram, uniform
 
-    @property
-    def rest(self) -> int:
-        return len(self.count) - 2
-
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text closed by its end; the first token of each text; bytes."""
@@ -69,9 +61,14 @@ def find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-def classes(model_words: np.ndarray, class_of: np.ndarray, rest: int, hashes: np.ndarray) -> np.ndarray:
-    at = find(model_words, hashes)
-    return np.where(at >= 0, class_of[at], rest) if len(class_of) else np.full(len(hashes), rest)
+def counts_of(hashes: np.ndarray, *tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each key's count in the tables (sorted keys, counts), which share no key; 0 where none has it."""
+    out = np.zeros(len(hashes), np.int64)
+    for key, n in tables:
+        at = find(key, hashes)
+        some = at >= 0
+        out[some] = n[at[some]]
+    return out
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
@@ -81,21 +78,87 @@ def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _counted(df: DataFrame, keys) -> DataFrame:
-    """(key, n, deleted) over training rows (text, fold); ``keys`` gives the keys of texts' tokens."""
+def keyed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens and of their bigrams, each text's first token after an end; first tokens."""
+    found, first, _ = tokens(texts)
+    return found, mix(contexts(found, first, END) * np.uint64(0x9E3779B97F4A7C15) + found), first
+
+
+def counted(training: DataFrame) -> DataFrame:
+    """(key, n, deleted, word) of all words and bigrams of training rows (text, fold)."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, 0, CHUNK_BYTES):
                 fold = part.column(1).to_numpy(zero_copy_only=False)
-                key, first = keys(part.column(0))
-                row = np.repeat(np.arange(len(fold)), np.diff(first))
-                unique, which, n = np.unique(key, return_inverse=True, return_counts=True)
-                deleted = np.bincount(which, fold[row] == DELETED, len(unique)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(unique.astype(np.int64) if unique.dtype != np.uint64 else unique.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(deleted)], names=["key", "n", "deleted"])
+                words, pairs, first = keyed(part.column(0))
+                gone = np.repeat(fold, np.diff(first)) == DELETED
+                for key, word in ((words, True), (pairs, False)):
+                    unique, which, n = np.unique(key, return_inverse=True, return_counts=True)
+                    deleted = np.bincount(which, gone, len(unique)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(deleted), pa.array(np.full(len(unique), word))], names=["key", "n", "deleted", "word"])
+
+    rows = training.select("text", "fold").mapInArrow(run, "key bigint, n bigint, deleted bigint, word boolean")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"), F.max("word").alias("word"))
+
+
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, counts and deleted counts of the most frequent keys, ``most`` at most."""
+    power = F.length(F.bin("n"))
+    sizes = {r.power: r["count"] for r in counts.groupBy(power.alias("power")).count().collect()}  # 64 rows at most
+    least, held = max(sizes, default=0) + 1, 0
+    while held + sizes.get(least - 1, 0) <= most and least > 1:
+        least -= 1
+        held += sizes.get(least, 0)
+    table = counts.where(power >= least).select("key", "n", "deleted").toArrow()
+    key, n, deleted = (np.asarray(table.column(i)) for i in range(3))
+    key = key.astype(np.int64).view(np.uint64)
+    by = np.argsort(key)
+    return key[by], n[by].astype(np.int64), deleted[by].astype(np.int64)
+
+
+def beside(rows: DataFrame, counts: DataFrame, held, work, schema: str) -> DataFrame:
+    """What ``work`` makes of each block of rows and the counts of its words and bigrams.
+
+    ``rows`` has block and text; ``held`` are broadcast sorted keys, which are not joined.
+    ``work`` gets the block's rows and its other keys' rows of ``counts``.
+    """
 
-    rows = df.select("text", "fold").mapInArrow(run, "key bigint, n bigint, deleted bigint")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"))
+    def unique(blocks, keys):
+        block, key = np.concatenate(blocks), np.concatenate(keys)
+        by = np.lexsort((key, block))
+        block, key = block[by], key[by]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(key[new].view(np.int64))], names=["block", "key"])
+
+    def wanted(batches):
+        known, blocks, keys, n = held.value[0], [], [], 0
+        for batch in batches:
+            for piece in chunks(batch, 0, CHUNK_BYTES):
+                words, pairs, first = keyed(piece.column(0))
+                block = np.repeat(piece.column(1).to_numpy(zero_copy_only=False), np.diff(first))
+                for key in (words, pairs):
+                    rare = find(known, key) < 0
+                    blocks.append(block[rare])
+                    keys.append(key[rare])
+                    n += len(keys[-1])
+                if n > ASKED:
+                    yield unique(blocks, keys)
+                    blocks, keys, n = [], [], 0
+        if n:
+            yield unique(blocks, keys)
+
+    asked = rows.select("text", "block").mapInArrow(wanted, "block bigint, key bigint")
+    found = asked.repartition("key").distinct().join(counts, "key")  # one shuffle, by key
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(work, schema)
+
+
+def sorted_counts(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's keys (key, n) in order."""
+    key, n = right.column("key").to_numpy().view(np.uint64), right.column("n").to_numpy()
+    by = np.argsort(key)
+    return key[by], n[by]
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -103,15 +166,19 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.asarray(count, np.float64) + 1)).astype(np.int64)
 
 
-def learn_weights(context: np.ndarray, of_bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: np.ndarray, held: np.ndarray, buckets: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights of each bucket by expectation-maximisation on held-out counts."""
+def shares(weights: np.ndarray, group: np.ndarray, parts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of each bucket's held-out counts, what the mixture expects of each estimate."""
+    share = weights[group] * parts
+    share *= (held / np.maximum(share.sum(1), 1e-300))[:, None]
+    return np.stack([np.bincount(group, share[:, i], len(weights)) for i in range(3)], 1)
+
+
+def settled(step, buckets: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights of each bucket by expectation-maximisation; ``step`` gives shares() of weights."""
     weights = np.full((buckets, 3), 1 / 3)
-    parts = np.stack([p2, p1, p0], 1)
-    group = of_bucket[context]
+    total = np.zeros((buckets, 1))
     for _ in range(rounds):
-        share = weights[group] * parts
-        share *= (held / np.maximum(share.sum(1), 1e-300))[:, None]
-        new = np.stack([np.bincount(group, share[:, i], buckets) for i in range(3)], 1)
+        new = step(weights)
         total = new.sum(1, keepdims=True)
         new = np.where(total > 0, new / np.maximum(total, 1e-300), weights)
         moved = np.abs(new - weights).max()
@@ -119,74 +186,89 @@ def learn_weights(context: np.ndarray, of_bucket: np.ndarray, p2: np.ndarray, p1
         if moved < 1e-6:
             break
     # a bucket without held-out counts takes the weights of the nearest one with some
-    some = np.flatnonzero(np.bincount(group, held, buckets) > 0)
+    some = np.flatnonzero(total[:, 0] > 0)
     if len(some):
         near = some[np.abs(np.arange(buckets)[:, None] - some[None, :]).argmin(1)]
         weights = weights[near]
     return 0.9999 * weights + 0.0001 / 3  # no token is impossible
 
 
-def train(training: DataFrame, core: int = CORE) -> tuple[Model, DataFrame]:
-    """The model of training rows (text, fold), and the written table (key, n) of all words' counts."""
-    words = cut(_counted(training, lambda t: tokens(t)[:2]), "words")
-    total, deleted, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("deleted"), F.lit(0)), F.count(F.lit(1))).first()
-    end = int(np.array([END], np.uint64).view(np.int64)[0])
-    top = words.where(F.col("key") != end).orderBy(F.desc("n"), "key").limit(core).collect()  # the core words
-    texts = words.where(F.col("key") == end).first()
-    rows = [*([texts] if texts else []), *top]
-    hashes = np.array([r.key for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    n, d = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-    n_texts, d_texts = (texts.n, texts.deleted) if texts else (0, 0)
-    count = np.concatenate([n, [total - n.sum(), n_texts]])
-    less = np.concatenate([d, [deleted - d.sum(), d_texts]])
-    held = training.sparkSession.sparkContext.broadcast((hashes[order], order))
-    rest, width = len(rows), len(rows) + 2
-
-    def pairs(texts_: pa.Array):
-        found, first, _ = tokens(texts_)
-        ids = classes(*held.value, rest, found)
-        return contexts(ids, first, rest + 1) * width + ids, first
-
-    table = _counted(training, pairs).toArrow()  # (CORE + 2) squared rows at most
-    key, seen, gone = (np.asarray(table.column(i)) for i in range(3))
-    by = np.argsort(key)
-    key, seen, gone = key[by], seen[by].astype(np.int64), gone[by]
-    # weights: estimates from what is not deleted, counts of the deleted part
-    kept_count = count - less
-    h, w = key // width, key % width
-    some = gone > 0
-    h, w, kept, out = h[some], w[some], (seen - gone)[some], gone[some]
-    p2 = kept / np.maximum(kept_count[h], 1)
-    p1 = kept_count[w] / max(1, kept_count[:-1].sum())
-    p0 = np.where(w == rest, kinds - rest + 1, 1) / (kinds + 1)
-    by_count = bucket(kept_count)
-    buckets = int(max(bucket(count).max(initial=0), by_count.max(initial=0))) + 1
-    if some.any():
-        weights = learn_weights(h, by_count, p2, p1, p0, out, buckets)
-    else:  # nothing was deleted: the parts weigh the same, or the uniform one all if there is no training text
-        weights = np.tile([1 / 3, 1 / 3, 1 / 3] if total else [0.0, 0.0, 1.0], (buckets, 1))
-    return Model(hashes[order], order, count, total, kinds, kinds - rest, key, seen, weights), words.select("key", "n")
+def learn_weights(context: np.ndarray, of_bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: np.ndarray, held: np.ndarray, buckets: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights of each bucket from held-out counts in arrays."""
+    parts, group = np.stack([p2, p1, p0], 1), of_bucket[context]
+    return settled(lambda weights: shares(weights, group, parts, held), buckets, rounds)
 
 
-def score_texts(texts: pa.Array, m: Model, other: np.ndarray, other_count: np.ndarray) -> list:
-    """For each text: tokens, known ones, base score, score. ``other`` are sorted words outside the core."""
-    found, first, _ = tokens(texts)
-    ids = classes(m.words, m.class_of, m.rest, found)
-    outside = ids == m.rest
-    count = m.count[ids].copy()
-    at = find(other, found[outside])
-    count[outside] = np.where(at >= 0, other_count[at], 0) if len(other) else 0
-    share = np.where(outside, (count + 1) / (m.count[m.rest] + m.rest_kinds + 1), 1.0)
-    h = contexts(ids, first, m.rest + 1)
-    pair = find(m.key, h * len(m.count) + ids)
-    both = np.where(pair >= 0, m.seen[pair], 0) if len(m.seen) else np.zeros(len(ids))
-    p2 = both / np.maximum(m.count[h], 1) * share
-    p1 = m.count[ids] / max(1, m.total) * share
-    weights = m.weights[bucket(m.count[h])]
-    p = weights[:, 0] * p2 + weights[:, 1] * p1 + weights[:, 2] / (m.kinds + 1)
+def deleted_counts(rows: DataFrame, counts: DataFrame, held) -> DataFrame:
+    """(context, both, alone, held): of the deleted tokens, counts in what is not deleted, and how many tokens have them.
+
+    ``rows`` are deleted texts by block, ``held`` broadcast keys with counts of what is not deleted.
+    """
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables, out = (held.value, sorted_counts(right)), []
+        for batch in left.to_batches():
+            for piece in chunks(batch, 1, CHUNK_BYTES):
+                words, pairs, first = keyed(piece.column(1))
+                alone, both = counts_of(words, *tables), counts_of(pairs, *tables)
+                end = alone[first[1] - 1]  # every text has its end
+                context = contexts(alone, first, end)
+                by = np.lexsort((alone, both, context))
+                columns = [x[by] for x in (context, both, alone)]
+                new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)]))
+                out.append(pa.table([*(x[new] for x in columns), np.diff(np.append(new, len(by)))], names=["context", "both", "alone", "held"]))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("context", "both", "alone", "held")})
+
+    kept = counts.select("key", (F.col("n") - F.col("deleted")).alias("n"))
+    found = beside(rows.select("block", "text"), kept, held, work, "context bigint, both bigint, alone bigint, held bigint")
+    return found.groupBy("context", "both", "alone").agg(F.sum("held").alias("held"))
+
+
+def train(rows: DataFrame, core: int = CORE) -> tuple[Model, DataFrame]:
+    """The model of training rows (text, fold, block), and the written table (key, n) of all counts."""
+    spark = rows.sparkSession
+    counts = cut(counted(rows), "counts")
+    word = lambda x: F.coalesce(F.sum(F.when(F.col("word"), x)), F.lit(0))
+    total, deleted, kinds, most = counts.agg(word(F.col("n")), word(F.col("deleted")), word(F.lit(1)), F.coalesce(F.max(F.when(F.col("word"), F.col("n"))), F.lit(0))).first()
+    key, seen, gone = frequent(counts, core)
+    buckets = int(bucket(np.array([most]))[0]) + 1
+    if deleted:
+        held = spark.sparkContext.broadcast((key, seen - gone))
+        table = cut(deleted_counts(rows.where(F.col("fold") == DELETED), counts, held), "deleted")
+
+        def step(weights: np.ndarray) -> np.ndarray:
+            def run(batches):
+                out = np.zeros((buckets, 3))
+                for b in batches:
+                    context, both, alone, held_ = (x.to_numpy() for x in b.columns)
+                    parts = np.stack([both / np.maximum(context, 1), alone / max(1, total - deleted), np.full(len(both), 1 / (kinds + 1))], 1)
+                    out += shares(weights, bucket(context), parts, held_)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *map(pa.array, out.T)], names=["bucket", "a", "b", "c"])
+
+            sums = table.mapInArrow(run, "bucket bigint, a double, b double, c double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("c"))
+            new = np.zeros((buckets, 3))
+            for r in sums.collect():  # a row for each bucket
+                new[r[0]] = r[1:]
+            return new
+
+        weights = settled(step, buckets)
+        release(table)
+    else:  # nothing was deleted: the parts weigh the same, or the uniform one all if there is no training text
+        weights = np.tile([1 / 3, 1 / 3, 1 / 3] if total else [0.0, 0.0, 1.0], (buckets, 1))
+    return Model(key, seen, total, kinds, weights), counts.select("key", "n")
+
+
+def score_texts(texts: pa.Array, m: Model, *other: tuple[np.ndarray, np.ndarray]) -> list:
+    """For each text: tokens, known ones, base score, score. ``other`` has the counts of keys that the model lacks."""
+    words, pairs, first = keyed(texts)
+    count, both = (counts_of(x, (m.key, m.seen), *other) for x in (words, pairs))
+    if not len(words):
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+    context = contexts(count, first, count[first[1] - 1])  # every text has its end
+    weights = m.weights[bucket(context)]
+    p = weights[:, 0] * (both / np.maximum(context, 1)) + weights[:, 1] * (count / max(1, m.total)) + weights[:, 2] / (m.kinds + 1)
     base = np.log10((count + 1) / (m.total + m.kinds + 1))
-    total = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x  # noqa: E731  every text has its end
+    total = lambda x: np.add.reduceat(x, first[:-1])
     return [np.diff(first), total((count > 0).astype(np.int64)), total(base), total(np.log10(p))]
 
 
@@ -196,7 +278,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", core:
     Returns id, held_out (crc32 of the id as text, modulo 7, is 2; a null id counts as ""),
     n_tokens (words in lower case and one end), n_known (tokens seen in training), train_tokens,
     base_score (add-one unigram) and score (the model's log10 probability). Null and empty texts
-    are an end alone. Rows are scored each on their own; extra columns are left out.
+    are an end alone. At most ``core`` counts are broadcast; no result depends on that. Rows are
+    scored each on their own; extra columns are left out.
     """
     spark = docs.sparkSession
     if not docs.inputFiles():
@@ -206,37 +289,19 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", core:
     split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
     part = F.pmod(F.xxhash64(ids), F.lit(max(1, -(-split // BLOCK))))
     rows = docs.select(ids.alias("id"), fold.cast("int").alias("fold"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.input_file_name(), F.input_file_block_start(), part).alias("block"))
-    model, words = train(rows.where(F.col("fold") != HELD_OUT), core)
+    model, counts = train(rows.where(F.col("fold") != HELD_OUT), core)
     held = spark.sparkContext.broadcast(model)
 
-    def outside(batches):
-        m = held.value
-        for batch in batches:
-            for piece in chunks(batch, 0, CHUNK_BYTES):
-                found, first, _ = tokens(piece.column(0))
-                block = np.repeat(piece.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-                rare = find(m.words, found) < 0
-                for b in np.unique(block[rare]):
-                    keys = np.unique(found[rare & (block == b)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys.view(np.int64))], names=["block", "key"])
-
-    asked = rows.select("text", "block").mapInArrow(outside, "block bigint, key bigint").distinct()
-    counts = asked.join(words, "key")
-
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = held.value
-        key, n = right.column("key").to_numpy().view(np.uint64), right.column("n").to_numpy()
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        out = []
+        other, out = sorted_counts(right), []
         for batch in left.to_batches():
             for piece in chunks(batch, 2, CHUNK_BYTES):
-                made = score_texts(piece.column(2), m, key, n)
+                made = score_texts(piece.column(2), held.value, other)
                 out.append(pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *map(pa.array, made)], names=["id", "fold", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(work, f"id {id_type}, fold int, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = beside(rows, counts, held, work, f"id {id_type}, fold int, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -142,3 +142,39 @@ def unigram(texts: dict) -> dict:
     counts = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
     n, v = counts.total(), len(counts)
     return {d: (held[d], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in ws)) for d, ws in tokens.items()}
+
+
+def bigram(texts: dict) -> dict:
+    """Scores by interpolation of all bigrams, unigrams and a uniform share, weights by powers of two of the context's count."""
+    tokens = {d: [None, *SPACE_WORD.findall(lower(t or "")), None] for d, t in texts.items()}
+    fold = {d: zlib.crc32(str(d).encode()) % 7 for d in texts}
+
+    def counts(docs):
+        return Counter(w for d in docs for w in tokens[d][1:]), Counter(p for d in docs for p in zip(tokens[d], tokens[d][1:], strict=False))
+
+    (words, pairs), (less, fewer) = (counts([d for d in texts if fold[d] not in out]) for out in ((2,), (2, 3)))
+    total, kept, kinds = words.total(), less.total(), len(words)
+    bucket = lambda n: int(math.log2(n + 1))
+    weights: dict = {b: [1 / 3] * 3 for b in range(bucket(max(words.values())) + 1)}
+    held = Counter(p for d in texts if fold[d] == 3 for p in zip(tokens[d], tokens[d][1:], strict=False))
+    some: set = set()
+    for _ in range(50):
+        sums: dict = {}
+        for (c, w), n in held.items():
+            b = bucket(less[c])
+            parts = [x * y for x, y in zip(weights[b], (fewer[c, w] / max(1, less[c]), less[w] / kept, 1 / (kinds + 1)), strict=True)]
+            sums[b] = [x + n * y / sum(parts) for x, y in zip(sums.get(b, [0] * 3), parts, strict=True)]
+        new = {b: [x / sum(xs) for x in xs] for b, xs in sums.items()}
+        moved = max(abs(x - y) for b in new for x, y in zip(new[b], weights[b], strict=True))
+        weights |= new
+        some = set(sums)
+        if moved < 1e-6:
+            break
+    near = {b: weights[min(some, key=lambda x: (abs(x - b), x))] for b in weights}
+    out = {}
+    for d, ws in tokens.items():
+        out[d] = 0.0
+        for c, w in zip(ws, ws[1:], strict=False):
+            a = [0.9999 * x + 0.0001 / 3 for x in near[bucket(words[c])]]
+            out[d] += math.log10(a[0] * pairs[c, w] / max(1, words[c]) + a[1] * words[w] / total + a[2] / (kinds + 1))
+    return out

@@ -220,3 +220,17 @@ def test_quotes(spark):
     assert got[1, 5].text is None and got[2, 0].reply_to is None and got[None, 0].text == "y"
     assert quotes.link_quotes(d.limit(0)).collect() == []
     assert quotes.link_quotes(d.where("turn < 2 and conv_id = 1")).count() == 2
+
+
+def test_score_counts_all_bigrams(spark):
+    # 2,100 words equally frequent, half of them always followed by the same word: no word is too rare for its bigrams
+    texts = [(i, " ".join(f"u{(i * 7 + j) % 2100} v{(i * 7 + j) % 2100}" for j in range(40))) for i in range(700)]
+    texts += [(10_000 + i, " ".join(f"u{(i * 7 + j) % 2100} v{(i * 7 + j + 9) % 2100}" for j in range(40))) for i in range(40)]
+    d = spark.createDataFrame(texts, "doc_id int, text string")
+    got = {core: {r.id: r for r in interp_lm.score(d, core=core).collect()} for core in (0, 30, 100_000)}
+    usual, odd = ([r.score for r in got[30].values() if r.held_out and (r.id >= 10_000) == late] for late in (False, True))
+    assert len(usual) > 50 and len(odd) > 2 and min(usual) > max(odd) + 20
+    for i, r in got[0].items():
+        assert r.score == pytest.approx(got[30][i].score) and r.score == pytest.approx(got[100_000][i].score)
+    model = brute.bigram(dict(texts))
+    assert {i: r.score for i, r in got[0].items()} == pytest.approx(model)
