@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.tables import chunks, cut, map_text, release
-from docweave.llm.words import mix, rows_of, scan
+from docweave.llm.tables import chunks, cut, map_text, release, sized
+from docweave.llm.words import rows_of, scan
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that count as near it.
 NEAR = 8
 #: Bytes of the shortest term.
 MIN_BYTES = 3
-#: Distinct contexts in which a term must stand near an entity.
+#: Distinct documents in which a term must stand near an entity.
 MIN_SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -92,12 +92,12 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.astype(np.uint64).view(np.int64).tolist()
 
 
-def contexts(texts: pa.Array) -> list:
-    """For each text: (entity, term, mark of the document's words near that entity)."""
+def contexts(texts: pa.Array, documents: pa.Array) -> list:
+    """For each text: (entity, term, document), and once for each entity a row without a term."""
     import xxhash
 
     out: list[list] = []
-    for text in texts.to_pylist():
+    for text, document in zip(texts.to_pylist(), documents.to_pylist(), strict=True):
         rows: list = []
         found = entities(text or "")
         if found:
@@ -115,8 +115,7 @@ def contexts(texts: pa.Array) -> list:
                 near[key].append(hashed[j : j + NEAR])
             for key, parts in near.items():
                 terms = np.unique(np.concatenate(parts))
-                mark = _signed(mix(np.array([terms.sum()], np.uint64)))[0]
-                rows += [{"entity": key, "term": t, "mark": mark} for t in _signed(terms)]
+                rows += [{"entity": key, "term": t, "document": document} for t in [None, *_signed(terms)]]
         out.append(rows)
     return [out]
 
@@ -149,39 +148,44 @@ def _blocks(terms: DataFrame, columns: list[str]):
 def revealing_terms(docs: DataFrame, *, text: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, removed): hashes of the terms whose disclosure of some entity exceeds a threshold.
 
-    A term must stand near the entity in ``min_support`` documents whose words near it differ, so
-    that copies of one document prove nothing. n(t) counts all documents with the term, N all.
+    A term must stand near the entity in ``min_support`` documents. All counts are of distinct
+    texts: n(t,e) with the term near the entity, n(t) with the term, n(e) with the entity, N all;
+    copies of one document are one.
     """
     spark = docs.sparkSession
-    one = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    rows = map_text(one, "text", [], "c array<struct<entity: bigint, term: bigint, mark: bigint>>", contexts).select(F.inline("c"))
-    rows = cut(rows.distinct(), "contexts")
-    pairs = rows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
-    alone = rows.select("entity", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    one = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("document", F.xxhash64("text"))
+    copies = cut(one.groupBy("document").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    rows = map_text(one, "text", [], "c array<struct<entity: bigint, term: bigint, document: bigint>>", contexts, also=("document",)).select(F.inline("c"))
+    rows = cut(rows.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")), "contexts")
+    pairs = rows.where(F.col("term").isNotNull() & (F.col("both") >= min_support))
+    alone = rows.where("term is null").select("entity", F.col("both").alias("n_entity"))
     pairs = cut(pairs.join(alone, "entity"), "pairs")
+    # each of n copies of a text counts as a share of 1 / n
+    several = sized(copies.where("copies > 1"))
+    weighed = one.join(several, "document", "left").select("text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"))
     parts = []
     for (wanted,) in _blocks(pairs.select("term").distinct(), []):
         held = spark.sparkContext.broadcast((wanted, filter_of(wanted)))
 
         def counted(batches, held=held):
             wanted, bits = held.value
-            n = np.zeros(len(wanted), np.int64)  # documents of this partition with each term
+            n = np.zeros(len(wanted))  # documents of this partition with each term
             for batch in batches:
                 for part in chunks(batch, 0):
                     w = scan(part.column(0), _letters(), lower=True)
                     at = _among(w.hash, wanted, bits)
                     once = np.unique(rows_of(w.first)[at] * len(wanted) + np.searchsorted(wanted, w.hash[at]))
-                    n += np.bincount(once % len(wanted), minlength=len(wanted))
+                    n += np.bincount(once % len(wanted), part.column(1).to_numpy()[once // len(wanted)], minlength=len(wanted))
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(n[some])], names=["term", "n"])
 
-        parts.append(one.mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term")))
+        parts.append(weighed.mapInArrow(counted, "term bigint, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n_term")))
     if not parts:
         return spark.createDataFrame([], "term bigint, removed boolean")
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
-    total = float(docs.count())
+    total = float(copies.count())
     told = F.try_divide(F.log(F.col("both") * total / (F.col("n_term") * F.col("n_entity"))), F.log(F.lit(total) / F.col("n_entity")))
     out = pairs.join(counts, "term").groupBy("term").agg(F.max(told).alias("told")).where(F.col("told") >= generalise)
     return out.select("term", (F.col("told") >= remove).alias("removed"))
@@ -214,7 +218,7 @@ def find_private(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     Returns the ``keep`` columns (all but the text by default) and spans, an array of (kind,
     start, end) in code points, end exclusive: email, ip, card, phone, generalised, removed, each
     by start. Null and empty texts have none. Terms are looked for in blocks of MAX_TERMS, one
-    pass each. Repeated rows add no support to a term; extra columns have no part.
+    pass each. Repeated texts count once; extra columns have no part.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     told = cut(revealing_terms(docs, text=text, min_support=min_support, generalise=generalise, remove=remove), "terms")

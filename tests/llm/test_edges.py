@@ -234,3 +234,17 @@ def test_score_counts_all_bigrams(spark):
         assert r.score == pytest.approx(got[30][i].score) and r.score == pytest.approx(got[100_000][i].score)
     model = brute.bigram(dict(texts))
     assert {i: r.score for i, r in got[0].items()} == pytest.approx(model)
+
+
+def test_terms_of_unchanged_lines(spark):
+    # a contact line with the same words on either side in otherwise different documents; then three documents copied ten times
+    words = lambda i, n: " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j)}" for j in range(n))
+    line = "regards from sales office north building janedoe jane@corp.example.com call during usual opening hours only please thanks"
+    rows = [(i, f"{words(i, 20)} {line} {words(i + 300, 20)}") for i in range(40)]
+    rows += [(1000 + 10 * i + c, f"{words(600 + i, 20)} copiedname {words(620 + i, 3)} kim@corp.example.com {words(640 + i, 20)}") for i in range(3) for c in range(10)]
+    rows += [(5000 + i, f"{words(i % 200 + 100, 10)} plain text {i}") for i in range(400)]
+    rows += [(9000, "janedoe was here"), (9001, "nothing but copiedname")]
+    got = {r.doc_id: r.spans for r in pii.find_private(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [x.kind for x in got[9000]] in (["generalised"], ["removed"])
+    # n(t,e) = n(e) = 3, n(t) = 4 and N = 40 + 3 + 400 + 2 distinct documents: log(N / 4) / log(N / 3) = 0.942
+    assert [x.kind for x in got[9001]] == ["generalised"]
