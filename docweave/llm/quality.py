@@ -49,7 +49,9 @@ def line_key(words: list[bytes]) -> int:
 
 
 def measure(texts: pa.Array, lines_only: bool = False) -> list:
-    """For each text: the base counts, then its lines' keys and words, and a mark of its longest line."""
+    """For each text: the base counts, then its lines' keys and words, and a key of all its lines."""
+    import xxhash
+
     w = scan(texts, spaced(), lower=False)
     n_words = np.diff(w.first)
     base: list = []
@@ -60,21 +62,17 @@ def measure(texts: pa.Array, lines_only: bool = False) -> list:
     for text in texts.cast(pa.large_binary()).to_pylist():
         text = text or b""
         seen, k, s, dup = set(), [], [], 0
-        longest, mark = b"", 0
         for line in text.split(b"\n"):
             words = line.split()
             if not words:
                 continue
             dup += line in seen
             seen.add(line)
-            h = line_key(words)
-            k.append(h)
+            k.append(line_key(words))
             s.append(len(words))
-            if len(line) > len(longest) or len(line) == len(longest) and line < longest:
-                longest, mark = line, h
         keys.append(k)
         sizes.append(s)
-        marks.append(mark)
+        marks.append(xxhash.xxh3_64_intdigest(np.array(k, np.int64).tobytes()) - (1 << 63))
         if not lines_only:
             symbols.append(sum(map(text.count, SYMBOLS)))
             dups.append(dup)
@@ -90,14 +88,16 @@ FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 def common_lines(docs: DataFrame, *, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, line): keys of the lines that too many distinct documents of a host have.
 
-    Documents with the same longest line count as one, so that exact and near copies of one
-    document do not make its lines common. A null host is a host of its own.
+    Documents whose lines are the same, but for case and white space, are one document, of a line
+    and of its host alike. A null host is a host of its own.
     """
     rows = map_text(docs.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")), "text", ["host"], "_n bigint, _keys array<bigint>, _sizes array<bigint>, _mark bigint", lambda t: measure(t, lines_only=True))
-    rows = rows.select("host", F.explode(F.array_distinct("_keys")).alias("line"), "_mark")
+    every = F.array(F.lit(None).cast("bigint"))  # a null line stands in every document: its count is the host's
+    rows = rows.select("host", F.explode(F.concat(F.array_distinct("_keys"), every)).alias("line"), "_mark")
     counted = rows.groupBy("host", "line", "_mark").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("one").alias("n"))
-    hosts = docs.groupBy(F.col(f"`{host}`").alias("h")).agg(F.count(F.lit(1)).alias("documents"))
-    counted = counted.where(F.col("n") >= min_documents)
+    counted = cut(counted.where(F.col("line").isNull() | (F.col("n") >= min_documents)), "counted")
+    hosts = counted.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("documents"))
+    counted = counted.where("line is not null")
     return counted.join(hosts, counted.host.eqNullSafe(hosts.h)).where(F.col("n") >= F.col("documents") * min_share).select("host", "line")
 
 
@@ -118,7 +118,7 @@ def apply_rules(
     n_repeat_words, base_failed, n_common_words (words in common lines), common_lines (their
     positions among the lines with a word, from 0) and kept: not base_failed, and words outside
     common lines are at least ``min_left`` of all. Null and empty texts have no words and fail.
-    Repeated rows are judged each on its own and count once among the documents of a line.
+    Repeated rows are judged each on its own and count once among the documents of a line and of a host.
     Results replace input columns of the same names.
     """
     keep = list(docs.columns) if keep is None else keep

@@ -248,3 +248,15 @@ def test_terms_of_unchanged_lines(spark):
     assert [x.kind for x in got[9000]] in (["generalised"], ["removed"])
     # n(t,e) = n(e) = 3, n(t) = 4 and N = 40 + 3 + 400 + 2 distinct documents: log(N / 4) / log(N / 3) = 0.942
     assert [x.kind for x in got[9001]] == ["generalised"]
+
+
+def test_common_longest_lines(spark):
+    # the shared line is the longest line of its pages; copies of other pages do not raise the bar of their host
+    notice = "we use cookies " + " ".join(f"n{j}" for j in range(80))
+    rows = [(i, f"{notice}\n" + "\n".join(f"own{i} a{j} b{j + i} c{i}_{j}" for j in range(3)), "h") for i in range(25)]
+    rows += [(1000 + i, " ".join(f"copied{j}" for j in range(60)), "h") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    for limit in (0, 1000):
+        got = {r.doc_id: r for r in quality.apply_rules(d, max_broadcast=limit).collect()}
+        assert all(got[i].common_lines == [0] and got[i].n_common_words == 83 and not got[i].kept for i in range(25))
+        assert got[1000].kept and got[1000].common_lines == []
