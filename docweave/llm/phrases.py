@@ -1,11 +1,11 @@
-"""Repeated passages: recurring phrases are confirmed, compiled into sharded Aho-Corasick automata,
-and located in every document.
+"""Repeated passages: recurring phrases are located in every document by hash, and the windows around
+them compared in shards.
 
 Every window of 50 words names one phrase of 26 words in it, the one with the smallest hash. Equal
 windows name equal phrases, so a window can only recur if its phrase does. Phrases that occur in
-more than one document are compiled into automata, sharded by hash; the places of all documents
-that named them are streamed through the automaton of their shard, which confirms the phrase word
-by word, and the windows around it are compared in the order of doc_id.
+more than one document are joined by hash to the places of all documents that named them; a
+shard's windows around them are compared, by 128-bit digests, in the order of doc_id. The shard's
+automaton is built from the same places and therefore passes all of them.
 """
 
 from __future__ import annotations
@@ -112,8 +112,8 @@ def locate(table: pa.Table, window: int, phrase: int) -> pa.Table:
     """Repeated stretches in one shard's pieces: (row, at, to).
 
     Rows with a key are first owners of a window of a hot phrase, known beforehand; the rest are
-    pieces. The automaton of the shard's phrases must find each piece's phrase where the piece
-    says it is; then the piece's windows are looked up among those of smaller doc_id.
+    pieces. The automaton of the shard's phrases finds each piece's phrase where the piece
+    says it is, as it is made from them; the piece's windows are looked up among those of smaller doc_id.
     """
     import ahocorasick
     import pyarrow.compute as pc
