@@ -2,7 +2,7 @@
 
 A document's sketch holds the k smallest hashes of its shingles. Documents whose similarity is
 0.75 share about three quarters of the k smallest hashes of their union, so two sketches that
-share fewer than ``need`` (3/8 of k) belong to a pair below it, but for a chance of about 1e-11.
+share fewer than ``need`` (3/8 of k) belong to a pair below it, but for a chance of about 5e-11.
 Two sets that share so many values share one of the k - need + 1 values that either holds first
 in any common order; the order puts values of long lists last. Inverted lists of these values
 give the candidates. Lists of at most ``LIST`` documents give all pairs; longer ones give pairs
