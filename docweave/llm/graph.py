@@ -20,25 +20,30 @@ def roots(parents: DataFrame) -> DataFrame:
             return at
 
 
-def components(links: DataFrame | None, spark: SparkSession) -> DataFrame:
+def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     """(id, component) of every end of the links (a, b): the smallest id that it reaches.
 
     Each round hangs every node on its smallest neighbour, follows these pointers to their ends
     and contracts the links; nodes that still have links halve at least.
     """
     labels = None
-    if links is not None:
-        links = cut(links.select("a", "b").where("a <> b").distinct(), "links")
-    while links is not None and links.take(1):
+    links = cut(links.select("a", "b").where("a <> b").distinct(), "links")
+    while links.take(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent"))
         low = cut(low.withColumn("parent", F.least("id", "parent")), "low")
-        top = sized(roots(low.where("parent < id")))
+        ends = roots(low.where("parent < id"))
+        top = sized(ends)
         if labels is None:
-            labels = cut(low.join(top, "id", "left").select("id", F.coalesce("root", "id").alias("component")), "labels")
+            new = cut(low.join(top, "id", "left").select("id", F.coalesce("root", "id").alias("component")), "labels")
         else:
-            labels = cut(labels.join(top.select(F.col("id").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+            new = cut(labels.join(top.select(F.col("id").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+            release(labels)
+        labels = new
         a, b = top.select(F.col("id").alias("a"), F.col("root").alias("ra")), top.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         moved = links.join(sized(a), "a", "left").join(sized(b), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        links = cut(moved.where("a <> b").distinct(), "links")
+        left = cut(moved.where("a <> b").distinct(), "links")
+        release(links, low, ends)
+        links = left
+    release(links)
     return spark.createDataFrame([], "id bigint, component bigint") if labels is None else labels

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import components
-from docweave.llm.tables import cut, map_text, sized, small
+from docweave.llm.tables import cut, map_text, release, sized, small
 from docweave.llm.words import mix, scan, spaced, windows
 
 #: Words of a shingle, and similarity in hundredths from which documents are linked.
@@ -61,23 +61,31 @@ def need(n: int, k: int, percent: int) -> int:
     return exact if n * 100 <= percent * k else min(exact, k * 3 // 8)
 
 
-def _first_values(ids, sizes, sketches, popular: dict[int, int], k: int, percent: int):
-    """What each sketch holds first: rare values by value, then those of long lists by length; and how many are of these."""
+def _first_values(ids, sizes, sketches, values: np.ndarray, lengths: np.ndarray, k: int, percent: int):
+    """What each sketch holds first: rare values by value, then those of long lists by length; and how many are of these.
+
+    ``values`` are the sorted values of long lists, ``lengths`` how many documents each has.
+    """
     for i, n, s in zip(ids, sizes, sketches, strict=True):
-        order = sorted(s, key=lambda v: (popular.get(v, 0), v))[: len(s) - need(n, k, percent) + 1]
-        rare = [v for v in order if v not in popular]
-        yield i, n, sum(v in popular for v in s), [{"value": v, "long": v in popular} for v in [*rare, *order[len(rare) :][-PIVOTS:]]]
+        s = np.asarray(s, np.int64)
+        at = np.minimum(np.searchsorted(values, s), max(len(values) - 1, 0))
+        length = np.where(values[at] == s, lengths[at], 0) if len(values) else np.zeros(len(s), np.int64)
+        by = np.lexsort((s, length))[: len(s) - need(n, k, percent) + 1]
+        often = by[length[by] > 0]
+        rare = [{"value": v, "long": False} for v in s[by[: len(by) - len(often)]].tolist()]
+        yield i, n, int((length > 0).sum()), rare + [{"value": v, "long": True} for v in s[often[-PIVOTS:]].tolist()]
 
 
 def list_rows(reps: DataFrame, popular: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, n, common, value, long) of the values that each sketch holds first; common: its values of long lists."""
     if small(popular):
-        held = reps.sparkSession.sparkContext.broadcast({r.value: r.n for r in popular.collect()})  # bounded by small()
+        table = popular.orderBy("value").toArrow()  # bounded by small()
+        held = reps.sparkSession.sparkContext.broadcast((np.asarray(table["value"], np.int64), np.asarray(table["n"], np.int64)))
         shape = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("value", pa.int64()), ("long", pa.bool_())]))]
 
         def run(batches):
             for b in batches:
-                rows = list(_first_values(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), held.value, k, percent))
+                rows = list(_first_values(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), *held.value, k, percent))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(shape)], names=["id", "n", "common", "first"])
 
         return reps.select("id", "n", "sketch").mapInArrow(run, "id bigint, n bigint, common int, first array<struct<value: bigint, long: boolean>>").select("id", "n", "common", F.inline("first"))
@@ -96,32 +104,56 @@ def _near(n1: str, n2: str, percent: int):
     return (F.least(n1, n2) * 100) >= (F.greatest(n1, n2) * percent)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): the sets of the documents (id, text) that are named."""
-    mine = docs.join(sized(cut(ids, "ids")), "id", "left_semi")
-    return cut(map_text(mine, "text", ["id"], "s array<bigint>", lambda t: [[x.view(np.int64) for x in shingle_sets(t, shingle)]]), "sets")
-
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, k: int, shingle: int, percent: int) -> DataFrame | None:
-    """The pairs (a, b) whose full sets are similar enough; ``docs`` has id and text. None if there are none."""
+def likely(pairs: DataFrame, reps: DataFrame, *, k: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that the sketch of their union does not put far below the similarity."""
     pairs = cut(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "pairs")
-    if not pairs.take(1):
-        return None
-    sketch = reps.select("id", "sketch")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sketch = reps.select("id", "sketch").join(sized(ids), "id", "left_semi")
     both = pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
     # the union's sketch: its k smallest values; the share of them in both sketches estimates
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    both = both.withColumn("su", union)
+    both = both.withColumn("su", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
     share = F.size(F.array_intersect(F.array_intersect("su", "sa"), "sb")) / F.size("su")
     p = percent / 100
     floor = F.lit(p) - SLACK * F.sqrt(F.lit(p * (1 - p)) / F.size("su"))
-    likely = cut(both.where(share >= floor).select("a", "b"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = full_sets(docs, ids, shingle)
-    full = likely.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = cut(full.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"), "links")
-    return links if links.take(1) else None
+    out = cut(both.where(share >= floor).select("a", "b"), "likely")
+    release(pairs, ids)
+    return out
+
+
+def exact(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The written pairs (a, b) whose full sets are similar enough.
+
+    The set of a travels once, that of b once for each of its pairs, and they meet by a.
+    """
+    sets = lambda d, keep: map_text(d, "text", keep, "s array<bigint>", lambda t: [[x.view(np.int64) for x in shingle_sets(t, shingle)]])
+    left = sets(docs.join(sized(cut(pairs.select(F.col("a").alias("id")).distinct(), "ids")), "id", "left_semi"), ["id"])
+    right = sets(docs.join(sized(pairs.withColumnsRenamed({"a": "x", "b": "id"})), "id"), ["x", "id"]).withColumnsRenamed({"id": "b", "s": "sb"})
+    common = F.size(F.array_intersect("s", "sb"))
+    met = left.join(right, (F.col("id") == F.col("x")) & (common * 100 >= (F.size("s") + F.size("sb") - common) * percent))
+    return cut(met.select(F.col("x").alias("a"), "b"), "links")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), links whose components are those of all links among them.
+
+    Every document is first compared with the smallest of its partners; of the other pairs those
+    that are still in different components then are compared.
+    """
+    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = exact(first, docs, shingle, percent)
+    rest = pairs.join(sized(first), ["a", "b"], "left_anti")
+    if not rest.take(1):
+        return links
+    labels = components(links, pairs.sparkSession)
+    end = lambda x: sized(labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")))
+    rest = rest.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    rest = cut(rest.select("a", "b"), "rest")
+    release(first, labels)
+    if not rest.take(1):
+        return links
+    out = cut(links.unionByName(exact(rest, docs, shingle, percent)), "links")
+    release(links, rest)
+    return out
 
 
 def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -142,41 +174,32 @@ def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
 
 
-def apart_links(mine: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Links (a, b) among documents (id, component) of different components, by lists of full sets.
+def apart_pairs(mine: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) among documents (id, component) of different components, by lists of full sets.
 
     Values are ordered by how many of these documents hold them. Linked sets of n and m values
     share p/(1+p) (n + m) at least, so the first value that they share has so many from it on in
-    both. The sets come along and are compared as lists meet, so that only links are made.
+    both. The lists hold no sets: a document's are its id, size and the value's place.
     """
-    sets = full_sets(docs, mine.select("id"), shingle)
-    values = sets.select("id", F.explode("s").alias("value"))
+    ids = cut(mine.select("id"), "ids")
+    held_by = map_text(docs.join(sized(ids), "id", "left_semi"), "text", ["id"], "s array<bigint>", lambda t: [[x.view(np.int64) for x in shingle_sets(t, shingle)]])
+    values = held_by.select("id", F.size("s").alias("n"), F.explode("s").alias("value"))
     held = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
-    n = F.size("s")
-    met = values.join(held, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("each"))
-    met = met.join(sets, "id").join(mine, "id").select("id", "component", "s", n.alias("n"), F.posexplode("each").alias("i", "x"), (n - F.size("each")).alias("alone"))
+    met = values.join(sized(held), "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("each"))
+    met = met.join(sized(mine), "id").select("id", "component", "n", F.posexplode("each").alias("i", "x"), (F.col("n") - F.size("each")).alias("alone"))
     pos = F.col("alone") + F.col("i")  # values that no other document has come first
     met = met.where(pos <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    lists = cut(met.select("id", "component", "s", "n", pos.alias("pos"), F.col("x.value").alias("value")), "lists")
+    lists = cut(met.select("id", "component", "n", pos.alias("pos"), F.col("x.value").alias("value")), "lists")
     sizes = lists.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    lists = lists.join(sized(cut(main.select("value", "main"), "main")), "value")
-    rest = lists.where("component <> main").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("pos").alias("px"), F.col("s").alias("sx"))
+    main = cut(main.select("value", "main"), "main")
+    lists = lists.join(sized(main), "value")
+    rest = lists.where("component <> main").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("pos").alias("px"))
     least = F.ceil((F.col("n") + F.col("nx")) * percent / (100 + percent))
-    far = (F.col("pos") <= F.col("n") - least) & (F.col("px") <= F.col("nx") - least)
-    common = F.size(F.array_intersect("s", "sx"))
-    linked = F.when(far, common * 100 >= (F.col("n") + F.col("nx") - common) * percent).otherwise(F.lit(False))
+    near = (F.col("pos") <= F.col("n") - least) & (F.col("px") <= F.col("nx") - least) & _near("n", "nx", percent)
     other = lists.withColumnRenamed("value", "v")
-    found = other.join(rest, (other.v == rest.value) & (F.col("component") != F.col("cx")) & linked)
-    found = cut(found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "links")
-    return found if found.take(1) else None
-
-
-def _union(parts: list[DataFrame | None]) -> DataFrame | None:
-    out = None
-    for p in parts:
-        out = p if out is None else out if p is None else out.unionByName(p)
-    return out
+    found = other.join(rest, (other.v == rest.value) & (F.col("component") != F.col("cx")) & near)
+    return found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -193,27 +216,29 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     marks = cut(map_text(base, "text", ["id"], "n bigint, s1 bigint, s2 bigint, sketch array<bigint>", lambda t: _sketches(t, shingle, k)), "sketches")
     mine = marks.where("id is not null and n > 0")
     classes = cut(mine.groupBy("n", "s1", "s2").agg(F.min("id").alias("class")), "classes")
-    reps = mine.join(sized(classes.select(F.col("class").alias("id"), "n", "s1", "s2")), ["id", "n", "s1", "s2"]).dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "sketch")
-    reps = cut(reps, "classes")
+    names = sized(classes.select(F.col("class").alias("id"), "n", "s1", "s2"))
+    reps = cut(mine.join(names, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "sketch"), "reps")
     texts = base.join(sized(classes.select(F.col("class").alias("id")).distinct()), "id", "left_semi")
     popular = cut(reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST), "popular")
     rows = list_rows(reps, popular, k, percent)
     long = cut(rows.where("long").select("id", "n", "common", "value"), "long")
-    check = lambda pairs: verified(pairs, reps, texts, k=k, shingle=shingle, percent=percent)
-    parts = [check(all_pairs(rows.where("not long"), percent))]
-    if long.take(1):
-        parts.append(check(pivot_pairs(long, percent)))
-    labels = components(_union(parts), spark)
-    if long.take(1):
-        mine = cut(long.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "apart")
-        if mine.select("component").distinct().limit(2).count() > 1:
-            found = apart_links(mine, texts, shingle, percent)
-            if found is not None:
-                labels = components(_union([*parts, found]), spark)
-    named = sized(classes.join(labels, F.col("class") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component")))
-    out = marks.join(named, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    pairs = likely(all_pairs(rows.where("not long"), percent).unionByName(pivot_pairs(long, percent)), reps, k=k, percent=percent)
+    links = confirmed(pairs, texts, shingle, percent)
+    release(popular, pairs)
+    labels = components(links, spark)
+    mine = cut(long.select("id").distinct().join(sized(labels), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "apart")
+    if mine.select("component").distinct().limit(2).count() > 1:
+        pairs = likely(apart_pairs(mine, texts, shingle, percent), reps, k=k, percent=percent)
+        if pairs.take(1):
+            more = confirmed(pairs, texts, shingle, percent)
+            if more.take(1):
+                labels = components(links.unionByName(more), spark)
+    release(reps, long, mine)
+    named = sized(classes.join(sized(labels), F.col("class") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component")))
+    marks = marks.select("id", "n", "s1", "s2")
+    linked = marks.where("id is not null and n > 0").join(named, ["n", "s1", "s2"], "left").select("id", "n", "component")
+    alone = marks.where("id is null or n = 0").select("id", "n", F.col("id").alias("component"))  # one key for all would be hot
+    return linked.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op6_near_dup(spark, sf_dir: str) -> DataFrame:
