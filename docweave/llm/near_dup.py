@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import components
-from docweave.llm.tables import cut, map_text, release, sized, small
+from docweave.llm.tables import cut, map_text, release, sized, small, whole_id
 from docweave.llm.words import mix, scan, spaced, windows
 
 #: Words of a shingle, and similarity in hundredths from which documents are linked.
@@ -32,6 +32,8 @@ K = 64
 LIST = 32
 #: Of a document's values in longer lists, so many of the most common ones lead to pivots.
 PIVOTS = 4
+#: Pivots of a longer list.
+AROUND = 8
 #: Standard deviations of the estimate that a pair may lie below the similarity.
 SLACK = 6
 
@@ -142,8 +144,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = exact(first, docs, shingle, percent)
     rest = pairs.join(sized(first), ["a", "b"], "left_anti")
-    if not rest.take(1):
-        return links
     labels = components(links, pairs.sparkSession)
     end = lambda x: sized(labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")))
     rest = rest.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
@@ -164,32 +164,41 @@ def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return two.where(_near("x.n", "y.n", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the long lists' documents with their list's pivot.
+def pivot_pairs(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs of the long lists' documents with their list's pivots, where their components differ.
 
-    The pivots are the documents with most common values, likely the sources of copies.
+    ``rows`` has value, id, n, common and component. One pivot is the document with most common
+    values, likely the source of copies; hashes choose the others.
     """
-    pivots = rows.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("common", F.xxhash64("id"))).alias("p"))
-    met = rows.join(sized(cut(pivots, "pivots")), "value").where((F.col("id") != F.col("p.id")) & _near("n", "p.n", percent))
+    ends = F.struct("id", "n", "component")
+    some = [F.max_by(ends, F.struct("common", F.xxhash64("id"))), *(F.max_by(ends, F.xxhash64("id", F.lit(seed + i))) for i in range(1, AROUND))]
+    pivots = rows.groupBy(F.col("value").alias("v")).agg(F.array_distinct(F.array(*some)).alias("p")).select("v", F.explode("p").alias("p"))
+    met = rows.join(sized(cut(pivots, "pivots")), (F.col("value") == F.col("v")) & (F.col("component") != F.col("p.component")) & _near("n", "p.n", percent))
     return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
 
 
-def apart_pairs(mine: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) among documents (id, component) of different components, by lists of full sets.
+def full_lists(ids: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, n, pos, value): inverted lists of the full sets of the documents that are named, by their rarest values.
 
     Values are ordered by how many of these documents hold them. Linked sets of n and m values
     share p/(1+p) (n + m) at least, so the first value that they share has so many from it on in
     both. The lists hold no sets: a document's are its id, size and the value's place.
     """
-    ids = cut(mine.select("id"), "ids")
     held_by = map_text(docs.join(sized(ids), "id", "left_semi"), "text", ["id"], "s array<bigint>", lambda t: [[x.view(np.int64) for x in shingle_sets(t, shingle)]])
     values = held_by.select("id", F.size("s").alias("n"), F.explode("s").alias("value"))
     held = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
     met = values.join(sized(held), "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("each"))
-    met = met.join(sized(mine), "id").select("id", "component", "n", F.posexplode("each").alias("i", "x"), (F.col("n") - F.size("each")).alias("alone"))
+    met = met.select("id", "n", F.posexplode("each").alias("i", "x"), (F.col("n") - F.size("each")).alias("alone"))
     pos = F.col("alone") + F.col("i")  # values that no other document has come first
     met = met.where(pos <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    lists = cut(met.select("id", "component", "n", pos.alias("pos"), F.col("x.value").alias("value")), "lists")
+    return cut(met.select("id", "n", pos.alias("pos"), F.col("x.value").alias("value")), "lists")
+
+
+def apart_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that share a value of full_lists() first.
+
+    In each list, documents outside its largest component meet all others.
+    """
     sizes = lists.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     main = cut(main.select("value", "main"), "main")
@@ -198,10 +207,16 @@ def apart_pairs(mine: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     least = F.ceil((F.col("n") + F.col("nx")) * percent / (100 + percent))
     near = (F.col("pos") <= F.col("n") - least) & (F.col("px") <= F.col("nx") - least) & _near("n", "nx", percent)
     other = lists.withColumnRenamed("value", "v")
-    found = other.join(rest, (other.v == rest.value) & (F.col("component") != F.col("cx")) & near)
+    once = (F.col("component") == F.col("main")) | (F.col("id") < F.col("x"))
+    found = other.join(rest, (other.v == rest.value) & (F.col("component") != F.col("cx")) & once & near)
     return found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 
 
+def placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with their component, their own id where nothing is linked."""
+    return rows.join(sized(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept).
 
@@ -209,10 +224,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes. component_id is the smallest id that links reach, kept whether it is the document's
     own. Null and empty texts have no shingles and are linked with nothing. Rows without an id
     are linked with nothing, have no component and are kept; rows of equal ids are one document
-    with several texts. Extra columns are left out.
+    with several texts. Ids that are no whole numbers are refused. Extra columns are left out. A
+    task holds the sets of a batch of texts; that of the longest text takes about 60 times its size.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    base = docs.select(whole_id(docs, doc_id).alias("id"), F.col(f"`{text}`").alias("text"))
     marks = cut(map_text(base, "text", ["id"], "n bigint, s1 bigint, s2 bigint, sketch array<bigint>", lambda t: _sketches(t, shingle, k)), "sketches")
     mine = marks.where("id is not null and n > 0")
     classes = cut(mine.groupBy("n", "s1", "s2").agg(F.min("id").alias("class")), "classes")
@@ -222,18 +238,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     popular = cut(reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST), "popular")
     rows = list_rows(reps, popular, k, percent)
     long = cut(rows.where("long").select("id", "n", "common", "value"), "long")
-    pairs = likely(all_pairs(rows.where("not long"), percent).unionByName(pivot_pairs(long, percent)), reps, k=k, percent=percent)
+    met = all_pairs(rows.where("not long"), percent).unionByName(pivot_pairs(long.withColumn("component", F.col("id")), percent, 0))
+    pairs = likely(met, reps, k=k, percent=percent)
     links = confirmed(pairs, texts, shingle, percent)
     release(popular, pairs)
+    ids = cut(long.select("id").distinct(), "ids")
     labels = components(links, spark)
-    mine = cut(long.select("id").distinct().join(sized(labels), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "apart")
-    if mine.select("component").distinct().limit(2).count() > 1:
-        pairs = likely(apart_pairs(mine, texts, shingle, percent), reps, k=k, percent=percent)
-        if pairs.take(1):
+    if placed(ids, labels).select("component").distinct().limit(2).count() > 1:
+        lists = full_lists(ids, texts, shingle, percent)
+        for search in (lambda x: pivot_pairs(x.withColumn("common", F.lit(0)), percent, AROUND), lambda x: apart_pairs(x, percent)):
+            pairs = likely(search(placed(lists, labels)), reps, k=k, percent=percent)
             more = confirmed(pairs, texts, shingle, percent)
+            release(pairs)
             if more.take(1):
-                labels = components(links.unionByName(more), spark)
-    release(reps, long, mine)
+                links = links.unionByName(more)
+                release(labels)
+                labels = components(links, spark)
+        release(lists)
+    release(reps, long, ids)
     named = sized(classes.join(sized(labels), F.col("class") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component")))
     marks = marks.select("id", "n", "s1", "s2")
     linked = marks.where("id is not null and n > 0").join(named, ["n", "s1", "s2"], "left").select("id", "n", "component")

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -72,6 +74,14 @@ def sized(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def whole_id(docs: DataFrame, name: str):
+    """A column of whole numbers as bigint; ids of other types have no order that results could follow."""
+    kind = docs.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"{name} must be a column of whole numbers, not {kind}")
+    return F.col(f"`{name}`").cast("bigint")
+
+
 def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES):
     """Slices of a batch whose text column holds about ``most`` bytes each, one row at least."""
     import numpy as np

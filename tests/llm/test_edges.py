@@ -260,3 +260,26 @@ def test_common_longest_lines(spark):
         got = {r.doc_id: r for r in quality.apply_rules(d, max_broadcast=limit).collect()}
         assert all(got[i].common_lines == [0] and got[i].n_common_words == 83 and not got[i].kept for i in range(25))
         assert got[1000].kept and got[1000].common_lines == []
+
+
+def test_automaton_locates(monkeypatch):
+    """What a shard removes comes from the places that its automaton finds."""
+    import ahocorasick
+    import pyarrow as pa
+
+    texts = pa.array([" ".join([*(f"{i}_{j}" for j in range(20)), *(f"p{j}" for j in range(70))]) for i in range(3)])
+    found = phrases.stretches(texts, np.full(1 << 10, 255, np.uint8), 50, 12)[0]
+    rows = [{"row": i, "doc": i, "salts": 1, **x} for i, xs in enumerate(found) for x in xs]
+    schema = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("salts", pa.int32()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("lead", pa.int32()), ("words", pa.string())])
+    table = pa.Table.from_pylist(rows, schema)
+    got = phrases.locate(table, 50, 12).to_pylist()
+    assert {(x["doc"], p) for x in got for p in range(x["at"], x["to"])} == {(d, p) for d in (1, 2) for p in range(20, 90)}
+
+    def empty(_):
+        out = ahocorasick.Automaton()
+        out.add_word("x", 1)
+        out.make_automaton()
+        return out
+
+    monkeypatch.setattr(phrases, "automaton_of", empty)
+    assert phrases.locate(table, 50, 12).num_rows == 0
