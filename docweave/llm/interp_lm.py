@@ -2,9 +2,12 @@
 
 Maximum-likelihood bigram, unigram and uniform estimates are mixed with weights that depend on
 how often the context was seen, in powers of two. Expectation-maximisation learns the weights
-from a deleted part of the training texts: estimates come from the rest. All words and all their
-bigrams are counted, in one table that grows with the corpus and is joined to blocks of documents;
-only the most frequent keys of it are broadcast, which changes no result.
+from a deleted part of the training texts: estimates come from the rest.
+
+All words and bigrams are counted. Documents are taken in units of one input split. A unit sends
+its distinct keys, sorted and packed, to the ranges of keys; a range counts them over all units and
+answers each unit with the counts in the order of its keys, so that answers hold no keys. A unit's
+documents meet its answers and make the same keys again.
 """
 
 from __future__ import annotations
@@ -19,23 +22,19 @@ from pyspark.sql import functions as F
 from docweave.llm.tables import CHUNK_BYTES, chunks, cut, release
 from docweave.llm.words import mix, scan, spaced
 
-#: Keys, of words and bigrams, whose counts are broadcast at most; the others' are joined.
-CORE = 1_000_000
-#: Keys gathered before those that repeat in a block are dropped.
-ASKED = 1 << 20
 #: Parts of the documents by crc32 of their id: one is held out, one is deleted to learn weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Rounds of expectation-maximisation at most.
 ROUNDS = 50
-#: Bytes of a Parquet split whose documents are scored together.
-BLOCK = 16 << 20
+#: Bytes of a Parquet split whose documents make a unit.
+BLOCK = 8 << 20
+#: Bytes of text whose keys make a range, and ranges at least.
+RANGE, LEAST_RANGES = 8 << 20, 32
 
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 
 
 class Model(NamedTuple):
-    key: np.ndarray  # sorted keys of the most frequent words and bigrams
-    seen: np.ndarray  # their training tokens
     total: int  # training tokens
     kinds: int  # distinct ones
     weights: np.ndarray  # by bucket: bigram, unigram, uniform
@@ -53,24 +52,6 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1]), w.data
 
 
-def find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where each value is among sorted ones, or -1."""
-    if not len(sorted_):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return np.where(sorted_[at] == x, at, -1)
-
-
-def counts_of(hashes: np.ndarray, *tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Each key's count in the tables (sorted keys, counts), which share no key; 0 where none has it."""
-    out = np.zeros(len(hashes), np.int64)
-    for key, n in tables:
-        at = find(key, hashes)
-        some = at >= 0
-        out[some] = n[at[some]]
-    return out
-
-
 def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     out = np.empty_like(ids)
     out[1:] = ids[:-1]
@@ -79,86 +60,131 @@ def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 
 
 def keyed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all tokens and of their bigrams, each text's first token after an end; first tokens."""
+    """Keys of all tokens (odd) and of their bigrams (even), each text's first token after an end; first tokens."""
     found, first, _ = tokens(texts)
-    return found, mix(contexts(found, first, END) * np.uint64(0x9E3779B97F4A7C15) + found), first
+    found = found | np.uint64(1)
+    pairs = mix(contexts(found, first, END | 1) * np.uint64(0x9E3779B97F4A7C15) + found)
+    return found, pairs & ~np.uint64(1), first
 
 
-def counted(training: DataFrame) -> DataFrame:
-    """(key, n, deleted, word) of all words and bigrams of training rows (text, fold)."""
+def pack(keys: np.ndarray, *numbers: np.ndarray) -> bytes:
+    """Sorted keys as differences, and numbers below 2**32 of each, by byte planes and compressed."""
+    planes = [np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T] if keys is not None else []
+    planes += [x.astype("<u4").view(np.uint8).reshape(-1, 4).T for x in numbers]
+    raw = b"".join(x.tobytes() for x in planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, 0, CHUNK_BYTES):
-                fold = part.column(1).to_numpy(zero_copy_only=False)
-                words, pairs, first = keyed(part.column(0))
-                gone = np.repeat(fold, np.diff(first)) == DELETED
-                for key, word in ((words, True), (pairs, False)):
-                    unique, which, n = np.unique(key, return_inverse=True, return_counts=True)
-                    deleted = np.bincount(which, gone, len(unique)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(deleted), pa.array(np.full(len(unique), word))], names=["key", "n", "deleted", "word"])
-
-    rows = training.select("text", "fold").mapInArrow(run, "key bigint, n bigint, deleted bigint, word boolean")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("deleted").alias("deleted"), F.max("word").alias("word"))
-
-
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, counts and deleted counts of the most frequent keys, ``most`` at most."""
-    power = F.length(F.bin("n"))
-    sizes = {r.power: r["count"] for r in counts.groupBy(power.alias("power")).count().collect()}  # 64 rows at most
-    least, held = max(sizes, default=0) + 1, 0
-    while held + sizes.get(least - 1, 0) <= most and least > 1:
-        least -= 1
-        held += sizes.get(least, 0)
-    table = counts.where(power >= least).select("key", "n", "deleted").toArrow()
-    key, n, deleted = (np.asarray(table.column(i)) for i in range(3))
-    key = key.astype(np.int64).view(np.uint64)
-    by = np.argsort(key)
-    return key[by], n[by].astype(np.int64), deleted[by].astype(np.int64)
-
-
-def beside(rows: DataFrame, counts: DataFrame, held, work, schema: str) -> DataFrame:
-    """What ``work`` makes of each block of rows and the counts of its words and bigrams.
-
-    ``rows`` has block and text; ``held`` are broadcast sorted keys, which are not joined.
-    ``work`` gets the block's rows and its other keys' rows of ``counts``.
+
+def unpack(blob: bytes, keys: bool, numbers: int) -> list[np.ndarray]:
+    """What pack() got."""
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    n, out, at = size // (8 * keys + 4 * numbers), [], 0
+    for width in [8] * keys + [4] * numbers:
+        plane = raw[at : at + n * width].reshape(width, n)
+        out.append(np.ascontiguousarray(plane.T).view(f"<u{width}").ravel())
+        at += n * width
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]] if keys else out
+
+
+def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of keys begins among sorted ones, and their number."""
+    of = ((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+    return np.searchsorted(of, np.arange(ranges + 1))
+
+
+def mark(keys: np.ndarray) -> int:
+    """A sum over keys by which a unit knows the answers to its own."""
+    return int(mix(keys).sum(dtype=np.uint64).view(np.int64))
+
+
+def unit_keys(words: list[np.ndarray], pairs: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of a unit in order."""
+    return np.union1d(np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs)))
+
+
+def asked(rows: DataFrame, ranges: int) -> DataFrame:
+    """(range, unit, deleted, blob): each unit's keys with their training counts.
+
+    ``rows`` has text, fold and unit, those of a unit together.
     """
 
-    def unique(blocks, keys):
-        block, key = np.concatenate(blocks), np.concatenate(keys)
-        by = np.lexsort((key, block))
-        block, key = block[by], key[by]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(key[new].view(np.int64))], names=["block", "key"])
+    def packed(unit, words, pairs, training, deleted):
+        keys = unit_keys(words, pairs)
+        n = np.zeros(len(keys), np.int64)
+        for parts in (words, pairs):
+            if learnt := [x for x, t in zip(parts, training, strict=True) if len(x) and t]:
+                some, count = np.unique(np.concatenate(learnt), return_counts=True)
+                n[np.searchsorted(keys, some)] = count
+        edge = ranges_of(keys, ranges).tolist()
+        kept = [(i, pack(keys[a:b], n[a:b])) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        m = len(kept)
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int32()), pa.array([unit] * m, pa.int64()), pa.array([deleted] * m, pa.bool_()), pa.array([x for _, x in kept], pa.binary())], names=["range", "unit", "deleted", "blob"])
 
-    def wanted(batches):
-        known, blocks, keys, n = held.value[0], [], [], 0
+    def run(batches):
+        unit, words, pairs, training, deleted = None, [], [], [], False
         for batch in batches:
-            for piece in chunks(batch, 0, CHUNK_BYTES):
-                words, pairs, first = keyed(piece.column(0))
-                block = np.repeat(piece.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-                for key in (words, pairs):
-                    rare = find(known, key) < 0
-                    blocks.append(block[rare])
-                    keys.append(key[rare])
-                    n += len(keys[-1])
-                if n > ASKED:
-                    yield unique(blocks, keys)
-                    blocks, keys, n = [], [], 0
-        if n:
-            yield unique(blocks, keys)
-
-    asked = rows.select("text", "block").mapInArrow(wanted, "block bigint, key bigint")
-    found = asked.repartition("key").distinct().join(counts, "key")  # one shuffle, by key
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(work, schema)
-
-
-def sorted_counts(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's keys (key, n) in order."""
-    key, n = right.column("key").to_numpy().view(np.uint64), right.column("n").to_numpy()
-    by = np.argsort(key)
-    return key[by], n[by]
+            for part in chunks(batch, 0, CHUNK_BYTES):
+                fold, units = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                w, p, first = keyed(part.column(0))
+                edge = np.append(np.append(0, np.flatnonzero(np.diff(units)) + 1), len(units)).tolist()
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    if unit is not None and units[a] != unit:
+                        yield packed(unit, words, pairs, training, deleted)
+                        words, pairs, training = [], [], []
+                    unit, deleted = int(units[a]), bool(fold[a] == DELETED)
+                    held = np.repeat(fold[a:b] == HELD_OUT, np.diff(first[a : b + 1]))
+                    for mine in (~held, held):
+                        words.append(w[first[a] : first[b]][mine])
+                        pairs.append(p[first[a] : first[b]][mine])
+                        training.append(mine is not held)
+        if unit is not None:
+            yield packed(unit, words, pairs, training, deleted)
+
+    return rows.select("text", "fold", "unit").mapInArrow(run, "range int, unit bigint, deleted boolean, blob binary")
+
+
+ANSWERS = "range int, unit bigint, deleted boolean, n bigint, mark bigint, blob binary, total bigint, gone bigint, kinds bigint, most bigint"
+
+
+def answered(table: pa.Table) -> pa.Table:
+    """For each unit, the counts of its keys of a range in all training texts and in those not deleted; and one row of totals."""
+    units, blobs, deleted = (table[c].to_pylist() for c in ("unit", "blob", "deleted"))
+    keys, counts = zip(*(unpack(b, True, 1) for b in blobs), strict=True)
+    size = np.array([len(k) for k in keys])
+    gone = np.repeat(np.array(deleted, bool), size)
+    every, count = np.concatenate(keys), np.concatenate(counts).astype(np.float64)
+    distinct, which = np.unique(every, return_inverse=True)
+    n = np.bincount(which, count, len(distinct)).astype(np.int64)
+    less = n - np.bincount(which, count * gone, len(distinct)).astype(np.int64)
+    word = (distinct & np.uint64(1)).astype(bool)
+    edge, rows = np.append(0, np.cumsum(size)), []
+    place = int(table["range"][0].as_py())
+    for unit, apart, a, b in zip(units, deleted, edge[:-1], edge[1:], strict=True):
+        rows.append((place, unit, apart, int(b - a), mark(every[a:b]), pack(None, n[which[a:b]], less[which[a:b]]), None, None, None, None))
+    rows.append((place, None, None, None, None, None, int(n[word].sum()), int((n - less)[word].sum()), int((n[word] > 0).sum()), int(n[word].max(initial=0))))
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
+
+
+def looked_up(texts: list[pa.Array], answers: pa.Table, column: int):
+    """For each array of a unit's texts: counts of its tokens, of its bigrams, and first tokens; 0 or 1 names which counts."""
+    found = [keyed(t) for t in texts]
+    if not found:
+        raise ValueError("a unit that asked has no documents: the input changed while it was read")
+    keys = unit_keys([w for w, _, _ in found], [p for _, p, _ in found])
+    answers = answers.sort_by("range")
+    if answers["n"].combine_chunks().to_numpy().sum() != len(keys) or sum(answers["mark"].to_pylist()) % 2**64 != mark(keys) % 2**64:
+        raise ValueError("a unit's documents are not those that asked: the input changed while it was read")
+    n = np.concatenate([unpack(b, False, 2)[column] for b in answers["blob"].to_pylist()]).astype(np.int64)
+    for w, p, first in found:
+        yield n[np.searchsorted(keys, w)], n[np.searchsorted(keys, p)], first
+
+
+def beside(rows: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
+    """What ``work`` makes of each unit's rows and answers."""
+    found = answers.where("unit is not null").select("range", "unit", "n", "mark", "blob")
+    return rows.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(work, schema)
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -199,50 +225,44 @@ def learn_weights(context: np.ndarray, of_bucket: np.ndarray, p2: np.ndarray, p1
     return settled(lambda weights: shares(weights, group, parts, held), buckets, rounds)
 
 
-def deleted_counts(rows: DataFrame, counts: DataFrame, held) -> DataFrame:
+def deleted_counts(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """(context, both, alone, held): of the deleted tokens, counts in what is not deleted, and how many tokens have them.
 
-    ``rows`` are deleted texts by block, ``held`` broadcast keys with counts of what is not deleted.
+    ``rows`` are the deleted texts by unit.
     """
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables, out = (held.value, sorted_counts(right)), []
-        for batch in left.to_batches():
-            for piece in chunks(batch, 1, CHUNK_BYTES):
-                words, pairs, first = keyed(piece.column(1))
-                alone, both = counts_of(words, *tables), counts_of(pairs, *tables)
-                end = alone[first[1] - 1]  # every text has its end
-                context = contexts(alone, first, end)
-                by = np.lexsort((alone, both, context))
-                columns = [x[by] for x in (context, both, alone)]
-                new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)]))
-                out.append(pa.table([*(x[new] for x in columns), np.diff(np.append(new, len(by)))], names=["context", "both", "alone", "held"]))
+        out = []
+        texts = [x.column(0) for b in left.select(["text"]).to_batches() for x in chunks(b, 0, CHUNK_BYTES)]
+        for alone, both, first in looked_up(texts, right, 1):
+            context = contexts(alone, first, alone[first[1] - 1])  # every text has its end
+            by = np.lexsort((alone, both, context))
+            columns = [x[by] for x in (context, both, alone)]
+            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)]))
+            out.append(pa.table([*(x[new] for x in columns), np.diff(np.append(new, len(by)))], names=["context", "both", "alone", "held"]))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("context", "both", "alone", "held")})
 
-    kept = counts.select("key", (F.col("n") - F.col("deleted")).alias("n"))
-    found = beside(rows.select("block", "text"), kept, held, work, "context bigint, both bigint, alone bigint, held bigint")
+    found = beside(rows.select("unit", "text"), answers.where("deleted"), work, "context bigint, both bigint, alone bigint, held bigint")
     return found.groupBy("context", "both", "alone").agg(F.sum("held").alias("held"))
 
 
-def train(rows: DataFrame, core: int = CORE) -> tuple[Model, DataFrame]:
-    """The model of training rows (text, fold, block), and the written table (key, n) of all counts."""
-    spark = rows.sparkSession
-    counts = cut(counted(rows), "counts")
-    word = lambda x: F.coalesce(F.sum(F.when(F.col("word"), x)), F.lit(0))
-    total, deleted, kinds, most = counts.agg(word(F.col("n")), word(F.col("deleted")), word(F.lit(1)), F.coalesce(F.max(F.when(F.col("word"), F.col("n"))), F.lit(0))).first()
-    key, seen, gone = frequent(counts, core)
+def train(rows: DataFrame, ranges: int) -> tuple[Model, DataFrame]:
+    """The model of the training rows among (text, fold, unit), and the written answers to all units."""
+    together = rows.select("text", "fold", "unit").sortWithinPartitions("unit")
+    answers = cut(asked(together, ranges).groupBy("range").applyInArrow(answered, ANSWERS), "answers")
+    some = answers.where("unit is null").agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "total"), (F.sum, "gone"), (F.sum, "kinds"), (F.max, "most"))])
+    total, deleted, kinds, most = some.first()
     buckets = int(bucket(np.array([most]))[0]) + 1
     if deleted:
-        held = spark.sparkContext.broadcast((key, seen - gone))
-        table = cut(deleted_counts(rows.where(F.col("fold") == DELETED), counts, held), "deleted")
+        table = cut(deleted_counts(rows.where(F.col("fold") == DELETED), answers), "deleted")
 
         def step(weights: np.ndarray) -> np.ndarray:
             def run(batches):
                 out = np.zeros((buckets, 3))
                 for b in batches:
-                    context, both, alone, held_ = (x.to_numpy() for x in b.columns)
+                    context, both, alone, held = (x.to_numpy() for x in b.columns)
                     parts = np.stack([both / np.maximum(context, 1), alone / max(1, total - deleted), np.full(len(both), 1 / (kinds + 1))], 1)
-                    out += shares(weights, bucket(context), parts, held_)
+                    out += shares(weights, bucket(context), parts, held)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *map(pa.array, out.T)], names=["bucket", "a", "b", "c"])
 
             sums = table.mapInArrow(run, "bucket bigint, a double, b double, c double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("c"))
@@ -255,15 +275,11 @@ def train(rows: DataFrame, core: int = CORE) -> tuple[Model, DataFrame]:
         release(table)
     else:  # nothing was deleted: the parts weigh the same, or the uniform one all if there is no training text
         weights = np.tile([1 / 3, 1 / 3, 1 / 3] if total else [0.0, 0.0, 1.0], (buckets, 1))
-    return Model(key, seen, total, kinds, weights), counts.select("key", "n")
+    return Model(total, kinds, weights), answers
 
 
-def score_texts(texts: pa.Array, m: Model, *other: tuple[np.ndarray, np.ndarray]) -> list:
-    """For each text: tokens, known ones, base score, score. ``other`` has the counts of keys that the model lacks."""
-    words, pairs, first = keyed(texts)
-    count, both = (counts_of(x, (m.key, m.seen), *other) for x in (words, pairs))
-    if not len(words):
-        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+def score_counts(count: np.ndarray, both: np.ndarray, first: np.ndarray, m: Model) -> list[np.ndarray]:
+    """For each text: tokens, known ones, base score, score, from the counts of its tokens and bigrams."""
     context = contexts(count, first, count[first[1] - 1])  # every text has its end
     weights = m.weights[bucket(context)]
     p = weights[:, 0] * (both / np.maximum(context, 1)) + weights[:, 1] * (count / max(1, m.total)) + weights[:, 2] / (m.kinds + 1)
@@ -272,14 +288,14 @@ def score_texts(texts: pa.Array, m: Model, *other: tuple[np.ndarray, np.ndarray]
     return [np.diff(first), total((count > 0).astype(np.int64)), total(base), total(np.log10(p))]
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", core: int = CORE) -> DataFrame:
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of all whole texts by a model learnt from those not held out.
 
     Returns id, held_out (crc32 of the id as text, modulo 7, is 2; a null id counts as ""),
     n_tokens (words in lower case and one end), n_known (tokens seen in training), train_tokens,
     base_score (add-one unigram) and score (the model's log10 probability). Null and empty texts
-    are an end alone. At most ``core`` counts are broadcast; no result depends on that. Rows are
-    scored each on their own; extra columns are left out.
+    are an end alone. Rows are scored each on their own; extra columns are left out. A task holds
+    the keys of a unit, 8 MB of Parquet or one text, at about 40 times its size.
     """
     spark = docs.sparkSession
     if not docs.inputFiles():
@@ -288,20 +304,22 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", core:
     fold = F.crc32(F.coalesce(ids.cast("string"), F.lit("")).cast("binary")) % FOLDS
     split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
     part = F.pmod(F.xxhash64(ids), F.lit(max(1, -(-split // BLOCK))))
-    rows = docs.select(ids.alias("id"), fold.cast("int").alias("fold"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.input_file_name(), F.input_file_block_start(), part).alias("block"))
-    model, counts = train(rows.where(F.col("fold") != HELD_OUT), core)
+    unit = F.xxhash64(F.input_file_name(), F.input_file_block_start(), part, fold == DELETED)
+    rows = docs.select(ids.alias("id"), fold.cast("int").alias("fold"), F.col(f"`{text}`").cast("string").alias("text"), unit.alias("unit"))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    model, answers = train(rows, max(LEAST_RANGES, size // RANGE))
     held = spark.sparkContext.broadcast(model)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        other, out = sorted_counts(right), []
-        for batch in left.to_batches():
-            for piece in chunks(batch, 2, CHUNK_BYTES):
-                made = score_texts(piece.column(2), held.value, other)
-                out.append(pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *map(pa.array, made)], names=["id", "fold", "n_tokens", "n_known", "base_score", "score"]))
+        names = ["id", "fold", "n_tokens", "n_known", "base_score", "score"]
+        parts = [x for b in left.to_batches() for x in chunks(b, 2, CHUNK_BYTES)]
+        out = []
+        for x, (count, both, first) in zip(parts, looked_up([x.column(2) for x in parts], right, 0), strict=True):
+            out.append(pa.RecordBatch.from_arrays([x.column(0), x.column(1), *map(pa.array, score_counts(count, both, first, held.value))], names=names))
         return pa.Table.from_batches(out)
 
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = beside(rows, counts, held, work, f"id {id_type}, fold int, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = beside(rows, answers, work, f"id {id_type}, fold int, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

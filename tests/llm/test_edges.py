@@ -186,7 +186,7 @@ def test_score_learns(spark):
             at = (at * 3 + 1) % 50 if r.random() < 0.8 else int(r.integers(50))
             out.append(word[at])
         texts.append((i, " ".join(out)))
-    got = interp_lm.score(spark.createDataFrame(texts, "doc_id int, text string"), core=30).where("held_out")
+    got = interp_lm.score(spark.createDataFrame(texts, "doc_id int, text string")).where("held_out")
     s = got.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert s.s > 0.8 * s.b  # both negative: the bigram model is much better than unigrams
 
@@ -222,18 +222,19 @@ def test_quotes(spark):
     assert quotes.link_quotes(d.where("turn < 2 and conv_id = 1")).count() == 2
 
 
-def test_score_counts_all_bigrams(spark):
+def test_score_counts_all_bigrams(spark, monkeypatch):
     # 2,100 words equally frequent, half of them always followed by the same word: no word is too rare for its bigrams
     texts = [(i, " ".join(f"u{(i * 7 + j) % 2100} v{(i * 7 + j) % 2100}" for j in range(40))) for i in range(700)]
     texts += [(10_000 + i, " ".join(f"u{(i * 7 + j) % 2100} v{(i * 7 + j + 9) % 2100}" for j in range(40))) for i in range(40)]
     d = spark.createDataFrame(texts, "doc_id int, text string")
-    got = {core: {r.id: r for r in interp_lm.score(d, core=core).collect()} for core in (0, 30, 100_000)}
-    usual, odd = ([r.score for r in got[30].values() if r.held_out and (r.id >= 10_000) == late] for late in (False, True))
+    got = {r.id: r for r in interp_lm.score(d).collect()}
+    usual, odd = ([r.score for r in got.values() if r.held_out and (r.id >= 10_000) == late] for late in (False, True))
     assert len(usual) > 50 and len(odd) > 2 and min(usual) > max(odd) + 20
-    for i, r in got[0].items():
-        assert r.score == pytest.approx(got[30][i].score) and r.score == pytest.approx(got[100_000][i].score)
     model = brute.bigram(dict(texts))
-    assert {i: r.score for i, r in got[0].items()} == pytest.approx(model)
+    assert {i: r.score for i, r in got.items()} == pytest.approx(model, rel=1e-9)
+    monkeypatch.setattr(interp_lm, "LEAST_RANGES", 3)  # another dealing, the same scores
+    monkeypatch.setattr(interp_lm, "BLOCK", 1 << 20)
+    assert {r.id: r.score for r in interp_lm.score(d).collect()} == pytest.approx(model, rel=1e-9)
 
 
 def test_terms_of_unchanged_lines(spark):
