@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.tables import CHUNK_BYTES, chunks, cut, release
-from docweave.llm.words import mix, scan, spaced
+from docweave.llm.words import distinct, mix, ranked, scan, spaced
 
 #: Parts of the documents by crc32 of their id: one is held out, one is deleted to learn weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -98,9 +98,9 @@ def mark(keys: np.ndarray) -> int:
     return int(mix(keys).sum(dtype=np.uint64).view(np.int64))
 
 
-def unit_keys(words: list[np.ndarray], pairs: list[np.ndarray]) -> np.ndarray:
-    """The distinct keys of a unit in order."""
-    return np.union1d(np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs)))
+def merged(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """A unit's keys in order, from its distinct words and bigrams in order."""
+    return np.sort(np.concatenate([words, pairs]), kind="stable")  # merges two sorted runs
 
 
 def asked(rows: DataFrame, ranges: int) -> DataFrame:
@@ -110,12 +110,19 @@ def asked(rows: DataFrame, ranges: int) -> DataFrame:
     """
 
     def packed(unit, words, pairs, training, deleted):
-        keys = unit_keys(words, pairs)
-        n = np.zeros(len(keys), np.int64)
+        some: list[tuple[np.ndarray, np.ndarray]] = []
         for parts in (words, pairs):
-            if learnt := [x for x, t in zip(parts, training, strict=True) if len(x) and t]:
-                some, count = np.unique(np.concatenate(learnt), return_counts=True)
-                n[np.searchsorted(keys, some)] = count
+            learnt, held = (np.concatenate([x for x, t in zip(parts, training, strict=True) if t == kind]) for kind in (True, False))
+            known, count = np.unique(learnt, return_counts=True)
+            held = distinct(held)
+            every = distinct(np.concatenate([known, held])) if len(held) else known
+            n = np.zeros(len(every), np.int64)
+            n[np.searchsorted(every, known)] = count
+            some.append((every, n))
+        keys = merged(some[0][0], some[1][0])
+        n = np.zeros(len(keys), np.int64)
+        for every, count in some:
+            n[np.searchsorted(keys, every)] = count
         edge = ranges_of(keys, ranges).tolist()
         kept = [(i, pack(keys[a:b], n[a:b])) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
         m = len(kept)
@@ -148,42 +155,51 @@ ANSWERS = "range int, unit bigint, deleted boolean, n bigint, mark bigint, blob
 
 
 def answered(table: pa.Table) -> pa.Table:
-    """For each unit, the counts of its keys of a range in all training texts and in those not deleted; and one row of totals."""
+    """For each unit, the training counts of its keys of a range, for deleted units those of deleted texts too; and a row of totals."""
     units, blobs, deleted = (table[c].to_pylist() for c in ("unit", "blob", "deleted"))
     keys, counts = zip(*(unpack(b, True, 1) for b in blobs), strict=True)
     size = np.array([len(k) for k in keys])
     gone = np.repeat(np.array(deleted, bool), size)
     every, count = np.concatenate(keys), np.concatenate(counts).astype(np.float64)
-    distinct, which = np.unique(every, return_inverse=True)
-    n = np.bincount(which, count, len(distinct)).astype(np.int64)
-    less = n - np.bincount(which, count * gone, len(distinct)).astype(np.int64)
-    word = (distinct & np.uint64(1)).astype(bool)
+    known, which = ranked(every)
+    n = np.bincount(which, count, len(known)).astype(np.int64)
+    out = np.bincount(which, count * gone, len(known)).astype(np.int64)
+    word = (known & np.uint64(1)).astype(bool)
     edge, rows = np.append(0, np.cumsum(size)), []
     place = int(table["range"][0].as_py())
     for unit, apart, a, b in zip(units, deleted, edge[:-1], edge[1:], strict=True):
-        rows.append((place, unit, apart, int(b - a), mark(every[a:b]), pack(None, n[which[a:b]], less[which[a:b]]), None, None, None, None))
-    rows.append((place, None, None, None, None, None, int(n[word].sum()), int((n - less)[word].sum()), int((n[word] > 0).sum()), int(n[word].max(initial=0))))
+        rows.append((place, unit, apart, int(b - a), mark(every[a:b]), pack(None, n[which[a:b]], *([out[which[a:b]]] if apart else [])), None, None, None, None))
+    rows.append((place, None, None, None, None, None, int(n[word].sum()), int(out[word].sum()), int((n[word] > 0).sum()), int(n[word].max(initial=0))))
     kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
 
 
-def looked_up(texts: list[pa.Array], answers: pa.Table, column: int):
-    """For each array of a unit's texts: counts of its tokens, of its bigrams, and first tokens; 0 or 1 names which counts."""
+def looked_up(texts: list[pa.Array], answers: pa.Table, deleted: bool):
+    """For each array of a unit's texts: counts of its tokens, of its bigrams, and first tokens.
+
+    ``deleted``: counts without those of deleted texts, which the answers to deleted units tell.
+    """
     found = [keyed(t) for t in texts]
     if not found:
         raise ValueError("a unit that asked has no documents: the input changed while it was read")
-    keys = unit_keys([w for w, _, _ in found], [p for _, p, _ in found])
+    (words, of_word), (pairs, of_pair) = (ranked(np.concatenate([x[i] for x in found])) for i in (0, 1))
+    keys = merged(words, pairs)
     answers = answers.sort_by("range")
     if answers["n"].combine_chunks().to_numpy().sum() != len(keys) or sum(answers["mark"].to_pylist()) % 2**64 != mark(keys) % 2**64:
         raise ValueError("a unit's documents are not those that asked: the input changed while it was read")
-    n = np.concatenate([unpack(b, False, 2)[column] for b in answers["blob"].to_pylist()]).astype(np.int64)
-    for w, p, first in found:
-        yield n[np.searchsorted(keys, w)], n[np.searchsorted(keys, p)], first
+    parts = [unpack(b, False, 1 + d) for b, d in zip(answers["blob"].to_pylist(), answers["deleted"].to_pylist(), strict=True)]
+    n = np.concatenate([x[0] for x in parts]).astype(np.int64)
+    if deleted:
+        n -= np.concatenate([x[1] for x in parts])
+    of_word, of_pair, at = n[np.searchsorted(keys, words)][of_word], n[np.searchsorted(keys, pairs)][of_pair], 0
+    for w, _, first in found:
+        yield of_word[at : at + len(w)], of_pair[at : at + len(w)], first
+        at += len(w)
 
 
 def beside(rows: DataFrame, answers: DataFrame, work, schema: str) -> DataFrame:
     """What ``work`` makes of each unit's rows and answers."""
-    found = answers.where("unit is not null").select("range", "unit", "n", "mark", "blob")
+    found = answers.where("unit is not null").select("range", "unit", "deleted", "n", "mark", "blob")
     return rows.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(work, schema)
 
 
@@ -225,8 +241,11 @@ def learn_weights(context: np.ndarray, of_bucket: np.ndarray, p2: np.ndarray, p1
     return settled(lambda weights: shares(weights, group, parts, held), buckets, rounds)
 
 
+COUNTS = ("context", "both", "alone", "held")
+
+
 def deleted_counts(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """(context, both, alone, held): of the deleted tokens, counts in what is not deleted, and how many tokens have them.
+    """(bucket, context, both, alone, held): of the deleted tokens, counts in what is not deleted, and how many tokens have them.
 
     ``rows`` are the deleted texts by unit.
     """
@@ -234,16 +253,18 @@ def deleted_counts(rows: DataFrame, answers: DataFrame) -> DataFrame:
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         texts = [x.column(0) for b in left.select(["text"]).to_batches() for x in chunks(b, 0, CHUNK_BYTES)]
-        for alone, both, first in looked_up(texts, right, 1):
+        for alone, both, first in looked_up(texts, right, True):
             context = contexts(alone, first, alone[first[1] - 1])  # every text has its end
+            power = bucket(context)
+            context = np.where(both > 0, context, (1 << power) - 1)  # an unseen bigram's context has only a bucket
             by = np.lexsort((alone, both, context))
-            columns = [x[by] for x in (context, both, alone)]
+            columns = [x[by] for x in (power, context, both, alone)]
             new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)]))
-            out.append(pa.table([*(x[new] for x in columns), np.diff(np.append(new, len(by)))], names=["context", "both", "alone", "held"]))
-        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("context", "both", "alone", "held")})
+            out.append(pa.table([*(x[new] for x in columns), np.diff(np.append(new, len(by)))], names=["bucket", *COUNTS]))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("bucket", *COUNTS)})
 
-    found = beside(rows.select("unit", "text"), answers.where("deleted"), work, "context bigint, both bigint, alone bigint, held bigint")
-    return found.groupBy("context", "both", "alone").agg(F.sum("held").alias("held"))
+    found = beside(rows.select("unit", "text"), answers.where("deleted"), work, "bucket bigint, context bigint, both bigint, alone bigint, held bigint")
+    return found.groupBy("bucket", "context", "both", "alone").agg(F.sum("held").alias("held"))
 
 
 def train(rows: DataFrame, ranges: int) -> tuple[Model, DataFrame]:
@@ -256,16 +277,12 @@ def train(rows: DataFrame, ranges: int) -> tuple[Model, DataFrame]:
     if deleted:
         table = cut(deleted_counts(rows.where(F.col("fold") == DELETED), answers), "deleted")
 
+        estimates = F.col("both") / F.greatest("context", F.lit(1)), F.col("alone") / max(1, total - deleted), F.lit(1 / (kinds + 1))
+
         def step(weights: np.ndarray) -> np.ndarray:
-            def run(batches):
-                out = np.zeros((buckets, 3))
-                for b in batches:
-                    context, both, alone, held = (x.to_numpy() for x in b.columns)
-                    parts = np.stack([both / np.maximum(context, 1), alone / max(1, total - deleted), np.full(len(both), 1 / (kinds + 1))], 1)
-                    out += shares(weights, bucket(context), parts, held)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *map(pa.array, out.T)], names=["bucket", "a", "b", "c"])
-
-            sums = table.mapInArrow(run, "bucket bigint, a double, b double, c double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("c"))
+            part = [F.element_at(F.lit(w), F.col("bucket").cast("int") + 1) * x for w, x in zip(weights.T.tolist(), estimates, strict=True)]
+            all_ = F.greatest(sum(part[1:], part[0]), F.lit(1e-300))
+            sums = table.groupBy("bucket").agg(*[F.sum(x * F.col("held") / all_).alias(f"s{i}") for i, x in enumerate(part)])
             new = np.zeros((buckets, 3))
             for r in sums.collect():  # a row for each bucket
                 new[r[0]] = r[1:]
@@ -314,7 +331,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
         names = ["id", "fold", "n_tokens", "n_known", "base_score", "score"]
         parts = [x for b in left.to_batches() for x in chunks(b, 2, CHUNK_BYTES)]
         out = []
-        for x, (count, both, first) in zip(parts, looked_up([x.column(2) for x in parts], right, 0), strict=True):
+        for x, (count, both, first) in zip(parts, looked_up([x.column(2) for x in parts], right, False), strict=True):
             out.append(pa.RecordBatch.from_arrays([x.column(0), x.column(1), *map(pa.array, score_counts(count, both, first, held.value))], names=names))
         return pa.Table.from_batches(out)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.graph import components
 from docweave.llm.tables import cut, map_text, release, sized, small, whole_id
-from docweave.llm.words import mix, scan, spaced, windows
+from docweave.llm.words import distinct, mix, scan, spaced, windows
 
 #: Words of a shingle, and similarity in hundredths from which documents are linked.
 SHINGLE, PERCENT = 5, 75
@@ -43,7 +43,7 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     w = scan(texts, spaced(), lower=True)
     grams, out = windows(w.hash, n), []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        out.append(np.unique(grams[a : b - n + 1] if b - a >= n else windows(w.hash[a:b], b - a) if b > a else grams[:0]))
+        out.append(distinct(grams[a : b - n + 1] if b - a >= n else windows(w.hash[a:b], b - a) if b > a else grams[:0]))
     return out
 
 

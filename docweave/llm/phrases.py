@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.tables import cut, map_text, release, sized, whole_id
-from docweave.llm.words import covered, gather, mix, scan, spaced, starts, windows
+from docweave.llm.words import covered, distinct, gather, mix, scan, spaced, starts, windows
 
 #: Words of a window that must not repeat, and of the phrase that it names.
 WINDOW, PHRASE = 50, 12
@@ -51,7 +51,7 @@ def phrase_hashes(texts: pa.Array, window: int, phrase: int) -> list:
     """For each text, the distinct hashes of the phrases that its windows name."""
     w, _, at, least = least_hashes(texts, window, phrase)
     begin = np.searchsorted(at, w.first)
-    return [[np.unique(least[a:b]).view(np.int64) for a, b in zip(begin[:-1], begin[1:], strict=True)]]
+    return [[distinct(least[a:b]).view(np.int64) for a, b in zip(begin[:-1], begin[1:], strict=True)]]
 
 
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:

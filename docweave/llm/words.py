@@ -24,6 +24,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting is many times as fast as the hashing of np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    by = np.argsort(x)
+    x = x[by]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return x[new], place
+
+
 def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
