@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from docweave.llm.quality import MIN_DOCUMENTS, MIN_LEFT, MIN_SHARE
 from docweave.llm.secret_scan import BASE, RULES
 
 
@@ -29,14 +28,15 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 QUALITY = f"""with w as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {SPACED}) as w from documents),
 g as (select doc_id, i, w[i:i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
 r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from g join (select doc_id, g from g group by 1, 2 having count(*) > 1) using (doc_id, g)) group by 1),
-l as (select *, translate(array_to_string(regexp_extract_all(line, {SPACED}), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key, len(regexp_extract_all(line, {SPACED})) as size from (select doc_id, source, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, {SPACED})),
+l as (select *, translate(array_to_string(regexp_extract_all(line, {SPACED}), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key, len(regexp_extract_all(line, {SPACED})) as size from (select doc_id, source, i, string_split(t, chr(10))[i] as line from (select doc_id, source, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) as i from w)) where regexp_matches(line, {SPACED})),
 dup as (select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from l group by 1),
-marks as (select doc_id, key as mark from (select *, row_number() over (partition by doc_id order by strlen(line) desc, line) as n from l) where n = 1),
-common as (select c.source, key from (select l.source, l.key, count(distinct mark) as n from l join marks using (doc_id) group by 1, 2) c join (select source, count(*) as documents from documents group by 1) h on c.source is not distinct from h.source where n >= {MIN_DOCUMENTS} and n >= documents * {MIN_SHARE}),
+whole as (select w.doc_id, w.source, coalesce(string_agg(key, chr(10) order by i), '') as all_lines from w left join l using (doc_id) group by 1, 2),
+hosts as (select source, count(distinct all_lines) as documents from whole group by 1),
+common as (select c.source, key from (select l.source, l.key, count(distinct all_lines) as n from l join whole using (doc_id) group by 1, 2) c join hosts h on c.source is not distinct from h.source where n >= 20 and n >= documents * 0.01),
 lost as (select l.doc_id, sum(size)::bigint as n_common_words from l join common c on l.source is not distinct from c.source and l.key = c.key group by 1),
 b as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_common_words, 0) as n_common_words from w left join r using (doc_id) left join dup using (doc_id) left join lost using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
-select *, not base_failed and n_words - n_common_words >= n_words * {MIN_LEFT} as kept from f"""
+select *, not base_failed and n_words - n_common_words >= n_words * 0.3 as kept from f"""
 
 DECONTAMINATE = f"""with d as (select doc_id, regexp_extract_all({LOWER}, {PLAIN}) as w from documents), b as (select item_id, regexp_extract_all({LOWER}, {PLAIN}) as w from benchmark),
 bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),

@@ -64,6 +64,19 @@ def release(*tables: DataFrame) -> None:
                 _remove(path)
 
 
+def made() -> set[str]:
+    """The tables that cut() has written and nothing has deleted."""
+    return set(_made)
+
+
+def release_since(before: set[str], *kept: DataFrame) -> None:
+    """Delete the tables made since, but for those that are kept."""
+    files = [f for df in kept for f in df.inputFiles()[:1]]
+    for path in made() - before:
+        if not any(path.rpartition("/")[2] in f for f in files):
+            _remove(path)
+
+
 def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether a written table has few enough rows to be broadcast."""
     return df.limit(limit + 1).count() <= limit

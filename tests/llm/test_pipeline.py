@@ -32,3 +32,26 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("KEPT_", __import__("pyspark").sql.functions.lit(1))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stage_edges(spark):
+    """Null, empty and long texts, ties, repeated rows, empty tables and clashing columns in every stage."""
+    prose = " ".join(f"word{i}" for i in range(80))
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (None, prose), (3, prose), (4, prose), (5, "other " + prose), (5, "another " + prose), (5, "another " + prose), (6, long), (7, long + " end"), (8, "call me at a@b.org " + " ".join(f"x{i}" for i in range(60)))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, `odd.name` int, SPANS int"
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), "k", 1, 2) for i, t in rows], schema)
+    want = {
+        "quality": [None, 3, 4, 5, 5, 5, 6, 7, 8],
+        "near_duplicates": [None, 1, 2, 3, 6, 8],
+        "decontamination": [None, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8],
+        "private": [None, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8],
+        "encode": [None, 1, 2, 3, 4, 5, 5, 5, 6, 7, 8],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert sorted((r.doc_id for r in got.select("doc_id").collect()), key=lambda x: (x is not None, x)) == want[name], name
+        assert name == "encode" or got.columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    twice = docs.where("doc_id = 5")  # ids repeat: the least text stays
+    assert [r.text for r in corpus_pipeline.unique(spark, twice, SF).collect()] == ["another " + prose]
