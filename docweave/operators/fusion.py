@@ -47,8 +47,9 @@ def relevant_tree(chosen: DataFrame, paths: DataFrame, nodes: DataFrame) -> Data
 
 
 def ancestor_closure(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(qid, node_id) with all ancestors but the root (FUS7); ``nodes`` has node_id and path."""
-    return ids.join(nodes.select("node_id", "path"), "node_id").select("qid", F.explode("path").alias("node_id")).distinct()
+    """(qid, node_id) with all ancestors but the root (FUS7); ``nodes`` has node_id and path, and qid if each query has nodes of its own."""
+    on = [c for c in ("qid", "node_id") if c in nodes.columns]
+    return ids.join(nodes.select(*on, "path"), on).select("qid", F.explode("path").alias("node_id")).distinct()
 
 
 def path_text(nodes, rels):

@@ -255,9 +255,9 @@ def estimate(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", tx.tokens_estimate(F.col("text")).alias("tokens"))
 
 
-@query("reply_clean", "select doc_id, 'Answer: ' || trim(substr(text, 1, 40), ' ' || chr(9) || chr(10) || chr(34) || chr(39)) as reply from documents")
+@query("reply_clean", "select doc_id, rtrim('Answer: ' || trim(regexp_replace(text, '```[a-zA-Z]*', '', 'g'), ' ' || chr(9) || chr(10) || chr(34) || chr(39))) as reply from documents")
 def reply_clean(spark, sf):
-    raw = F.concat(F.lit('<think>why\nnot</think>```json\n输出: "Answer: '), F.regexp_replace(F.substring("text", 1, 40), "^[ \t\n\"']+|[ \t\n\"']+$", ""), F.lit('"```'))
+    raw = F.concat(F.lit('<think>why\nnot</think>```json\n输出: "Answer: '), F.regexp_replace("text", "^[ \t\n\"']+|[ \t\n\"']+$", ""), F.lit('"```'))
     return Tables(spark, sf).documents.select("doc_id", tx.cleaned_reply(raw).alias("reply"))
 
 

@@ -94,12 +94,12 @@ def hybrid(spark, sf):
 @query(
     "search_context",
     f"""{HYBRID_SQL}, hits as (select * from {FUSED_SQL} where rank <= 10)
-select qid, string_agg('[' || rank || ']' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) order by rank) as context from hits join documents on doc_id = id group by 1""",
+select qid, string_agg('[' || rank || ']' || chr(10) || text, chr(10) || chr(10) order by rank) as context from hits join documents on doc_id = id group by 1""",
 )
 def search_context(spark, sf):
     """Flagship: hybrid search, fused ranks, numbered context blocks."""
     t = Tables(spark, sf)
-    texts = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
     return fusion.context_blocks(hybrid_hits(t).join(texts, "id").withColumn("clause_id", F.lit(-1)))
 
 

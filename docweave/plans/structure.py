@@ -68,12 +68,12 @@ def outline(spark, sf):
     return tree.outline(nodes, ["doc_id"])
 
 
-@query("ancestor_closure", f"{PATH_SQL} select distinct doc_id as qid, unnest(path) as node_id from q where level = 4 and doc_id = 1")
+@query("ancestor_closure", f"{PATH_SQL} select distinct doc_id as qid, unnest(path) as node_id from q where level = 4")
 def closure(spark, sf):
     from docweave.operators.fusion import ancestor_closure
 
-    nodes = nodes_of(Tables(spark, sf)).where("doc_id = 1")
-    return ancestor_closure(nodes.where("level = 4").select(F.col("doc_id").alias("qid"), "node_id"), nodes)
+    nodes = nodes_of(Tables(spark, sf)).withColumnRenamed("doc_id", "qid")
+    return ancestor_closure(nodes.where("level = 4").select("qid", "node_id"), nodes)
 
 
 @query("tree_ranges", "select user_id, event_id as start, greatest(event_id, coalesce(lead(event_id) over (partition by user_id order by event_id) - 1, 1000000))::bigint as end from events where event_type = 'signup'")
