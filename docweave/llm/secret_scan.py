@@ -8,6 +8,7 @@ rule without mandatory trigrams scans every text.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -179,7 +180,7 @@ def find_secrets(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     parts = []
     for i, rule in enumerate(rules):
         asked = F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 if clauses(rule.regex) else F.lit(True)
-        if not rule.group and rule.least and rule.regex.endswith("]+"):
+        if not rule.group and rule.least and re.fullmatch(r"[A-Za-z0-9_ -]*\[[^\[\]]+\]\+", rule.regex):
             # the match runs on to the last character of its class: shorter runs need no look
             rule = rule._replace(regex=f"{rule.regex[:-1]}{{{rule.least - len(rule.regex.partition('[')[0])},}}")
         there = F.col("_text").rlike(_java(rule))

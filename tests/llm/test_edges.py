@@ -49,6 +49,12 @@ def test_rules_without_trigrams(spark):
     assert len(secret_scan.find_secrets(d, rules=[secret_scan.BASE[2]]).first().spans) == 1
 
 
+def test_rules_of_two_classes(spark):
+    rule = secret_scan.BASE[1]._replace(kind="two", regex="x[a-z]+[0-9]+", least=8)
+    d = spark.createDataFrame([(1, "xabcdef1 xab1")], "doc_id int, text string")
+    assert [(x.start, x.end) for x in secret_scan.find_secrets(d, rules=[rule]).first().spans] == [(0, 8)]
+
+
 def test_quality(docs, none):
     got = both(docs, none, quality.apply_rules)
     assert "odd.name" in got[0].__fields__ and got[0].__fields__.count("n_words") == 1
