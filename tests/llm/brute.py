@@ -178,3 +178,48 @@ def bigram(texts: dict) -> dict:
             a = [0.9999 * x + 0.0001 / 3 for x in near[bucket(words[c])]]
             out[d] += math.log10(a[0] * pairs[c, w] / max(1, words[c]) + a[1] * words[w] / total + a[2] / (kinds + 1))
     return out
+
+
+def quotations(messages: dict) -> dict:
+    """For each (conversation, turn): the originals of its passages, what it replies to and the thread."""
+
+    def units(lines, own):
+        blocks = [" ".join(b.lower().split()) for b in re.split(r"\n\s*\n", "\n".join(lines)) if b.split()]
+        if not blocks:
+            return [[], [], []]
+        ends = [x for b in blocks for x in re.split(r"(?<=[.!?])\s", b)]
+        return [[" ".join(blocks), *(blocks if own else [])], ends, [" ".join(x.lower().split()) for x in lines if x.split()]]
+
+    first: dict = {}
+    found: dict = {}
+    for (conv, turn), text in sorted(messages.items()):
+        own, passages, before = [], [], 0
+        for line in text.split("\n"):
+            m = re.match(r"[ \t]*(?:>[ \t]?)+", line)
+            level = m[0].count(">") if m else 0
+            if level and level != before:
+                passages.append((level, []))
+            if level and not before:
+                while own and (not own[-1].strip() or own[-1].endswith("wrote:")):
+                    own.pop()
+            (passages[-1][1] if level else own).append(line[m.end() :] if m else line)
+            before = level
+        found[conv, turn] = []
+        for level, lines in passages:
+            got = None
+            for kind, xs in enumerate(units(lines, False)):
+                votes = Counter(o for x in xs if (o := first.get((conv, kind, x), turn)) < turn)
+                best = min(votes, key=lambda o: (-votes[o], o), default=None)
+                if got is None and best is not None and votes[best] * 2 >= len(xs):
+                    got = best
+            if any(units(lines, False)):
+                found[conv, turn].append((level, got))
+        for kind, xs in enumerate(units(own, True)):
+            for x in xs:
+                first.setdefault((conv, kind, x), turn)
+    out: dict = {}
+    for (conv, turn), passages in sorted(found.items()):
+        linked = [(level, i, o) for i, (level, o) in enumerate(passages) if o is not None]
+        reply = min(linked)[2] if linked else None
+        out[conv, turn] = ([o for _, o in passages], reply, out[conv, reply][2] if linked else turn)
+    return out

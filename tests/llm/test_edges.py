@@ -290,3 +290,37 @@ def test_automaton_locates(monkeypatch):
 
     monkeypatch.setattr(phrases, "automaton_of", empty)
     assert phrases.locate(table, 50, 12).num_rows == 0
+
+
+def test_quotations_by_brute_force(spark):
+    """Generated conversations: whole, rewrapped, shortened and nested quotations, copies, and one hot conversation."""
+    import random
+
+    r, messages, rows = random.Random(3), {}, []
+    for conv in range(120):
+        texts: list[str] = []
+        for turn in range(300 if conv == 0 else r.randrange(2, 20)):
+            body = [" ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(2, 9))) + r.choice(".?!") for _ in range(r.randrange(1, 6))]
+            own = "\n".join(r.choice([" ", "\n", "\n\n"]).join(body[i : i + 2]) for i in range(0, len(body), 2))
+            if texts and r.random() < 0.7:
+                old = r.choice(texts).split("\n")
+                how = r.randrange(3)
+                if how == 1:  # wrapped anew
+                    words = " ".join(x for x in old if not x.startswith(">")).split()
+                    old = [" ".join(words[i : i + 4]).upper() for i in range(0, len(words), 4)]
+                elif how == 2:
+                    old = old[: r.randrange(1, len(old) + 1)]
+                own = "\n".join(["Ann wrote:", *("> " + x for x in old), own])
+            texts.append(own)
+            messages[conv, turn] = own
+            rows.append((conv, turn, "user", own))
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    linked = quotes.link_quotes(d)
+    got = {(x.conv_id, x.turn): ([q.original for q in x.quoted], x.reply_to, x.thread) for x in linked.collect()}
+    assert got == brute.quotations(messages)
+    assert sum(x[1] is not None for x in got.values()) > 500
+    for x in quotes.threads(linked).collect():
+        seen = set()
+        for t in x.turns:
+            assert (t.reply_to in seen) if t.reply_to is not None else t.turn == x.thread
+            seen.add(t.turn)
