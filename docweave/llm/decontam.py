@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,47 +26,64 @@ def _grams(w: Words, i: int, n: int) -> bytes:
     return b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(i, i + n)).lower()
 
 
-def test_windows(ids: list, texts: list[str | None], window: int = WINDOW) -> dict[int, tuple[np.ndarray, dict[bytes, set]]]:
-    """By length: sorted hashes of the test windows, and the item ids of each window's exact words."""
+class Tests(NamedTuple):
+    """Windows of a block of test items: about 20 bytes each, and the items' normalised words."""
+
+    items: list[str]
+    words: bytes  # of all items, parted by single spaces
+    by_length: dict[int, tuple[np.ndarray, ...]]  # sorted hashes; item, begin and end in words of each; filter bits
+
+
+def test_windows(ids: list, texts: list[str | None], window: int = WINDOW) -> Tests:
+    """The windows of test items by length; an item of fewer words than ``window`` is one."""
     w = scan(pa.array(texts, pa.large_string()), alphanumeric(), lower=True)
-    found: dict[int, dict[bytes, set]] = {}
-    hashes: dict[int, list[int]] = {}
+    inside = np.zeros(len(w.data) + 1, np.int64)
+    inside[1:] = np.cumsum(alphanumeric()[w.data]) if len(w.data) else 0
+    begin = inside[w.start] + np.arange(len(w.start))  # in the words of all items
+    end = begin + (w.end - w.start)
+    words = b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)).lower()
+    parts: dict[int, list] = {}
     for row, item in enumerate(ids):
-        have = int(w.first[row + 1] - w.first[row])
-        n = min(window, have)
+        first, last = int(w.first[row]), int(w.first[row + 1])
+        n = min(window, last - first)
         if not n or item is None:
             continue
-        first = int(w.first[row])
-        hashes.setdefault(n, []).extend(windows(w.hash[first : first + have], n).tolist())
-        for i in range(first, first + have - n + 1):
-            found.setdefault(n, {}).setdefault(_grams(w, i, n), set()).add(str(item))
-    return {n: (np.unique(np.array(hashes[n], np.uint64)), found[n]) for n in found}
+        hashes = windows(w.hash[first:last], n)
+        parts.setdefault(n, []).append((hashes, np.full(len(hashes), row, np.int32), begin[first : last - n + 1], end[first + n - 1 : last]))
+    by_length = {}
+    for n, found in parts.items():
+        hashes, item, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(hashes, kind="stable")
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        by_length[n] = hashes[by], item[by], a[by].astype(np.int32), b[by].astype(np.int32), np.packbits(bits, bitorder="little")
+    return Tests([str(x) for x in ids], words, by_length)
 
 
-def find(texts: pa.Array, sets: dict[int, tuple[np.ndarray, dict[bytes, set]]]) -> list[list]:
+def find(texts: pa.Array, tests: Tests) -> list[list]:
     """For each text: its words, the items found, and the merged stretches of hit words."""
     w = scan(texts, alphanumeric(), lower=True)
     rows = len(w.first) - 1
     hit = np.zeros(len(w.hash), bool)
     items: list[set] = [set() for _ in range(rows)]
     row_of = rows_of(w.first)
-    for n, (hashes, exact) in sets.items():
+    for n, (hashes, item, begin, end, bits) in tests.by_length.items():
         all_hashes = windows(w.hash, n)
         place = starts(w.first, n)
         if not len(place):
             continue
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        bits[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         here = all_hashes[place]
-        maybe = np.flatnonzero(bits[(here & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(hashes, here[maybe]), len(hashes) - 1)
-            maybe = maybe[hashes[at] == here[maybe]]
+        bit = here & np.uint64((1 << FILTER_BITS) - 1)
+        maybe = np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+        low, high = np.searchsorted(hashes, here[maybe]), np.searchsorted(hashes, here[maybe], side="right")
         sure = []
-        for i in place[maybe].tolist():
-            if found := exact.get(_grams(w, i, n)):
-                sure.append(i)
-                items[row_of[i]] |= found
+        for i, a, b in zip(place[maybe].tolist(), low.tolist(), high.tolist(), strict=True):
+            if a < b:
+                gram = _grams(w, i, n)
+                found = {tests.items[item[j]] for j in range(a, b) if tests.words[begin[j] : end[j]] == gram}
+                if found:
+                    sure.append(i)
+                    items[row_of[i]] |= found
         if sure:
             hit |= covered(len(hit), np.array(sure), n)
     begin, end, index = [], [], []

@@ -324,3 +324,13 @@ def test_quotations_by_brute_force(spark):
         for t in x.turns:
             assert (t.reply_to in seen) if t.reply_to is not None else t.turn == x.thread
             seen.add(t.turn)
+
+
+def test_size_of_test_windows():
+    """Sixteen million characters of benchmark texts take less than 300 MB in a worker."""
+    import pickle
+
+    texts = [" ".join(f"t{i}x{j}" for j in range(400)) for i in range(500)]
+    size = sum(map(len, texts))
+    held = pickle.dumps(decontam.test_windows(list(range(500)), texts))
+    assert len(held) * (decontam.MAX_CHARS / size) < 300e6
