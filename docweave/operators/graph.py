@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.shared import shared_base
 from docweave.functions.text import cleaned, hashed_id
 from docweave.operators.aggregates import degrees, joined, majority, merged_ids
 from docweave.operators.joins import both_ends
@@ -90,7 +89,7 @@ def _written(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder, so that an iteration does not grow the plan."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
@@ -99,11 +98,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
 
     Stops when the summed change is under tolerance times nodes, or after so many rounds.
     """
-    n = nodes.count()
+    n = max(nodes.count(), 1)
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = _written(links.join(out, "src"))
-    ranks = _written(nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out", F.lit(1.0 / max(n, 1)).alias("rank")))
+    ranks = _written(nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out", F.lit(1.0 / n).alias("rank")))
     for i in range(rounds):
         given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))

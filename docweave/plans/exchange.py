@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.functions.shared import shared_path
 from docweave.operators import extraction, fusion, ontology, predicates, tree
 from docweave.plans import plugins
 from docweave.plans.registry import Tables, query
@@ -16,12 +15,7 @@ from docweave.streaming import jobs
 
 def place(spark, name: str) -> str:
     """A new path in the folder that the session shares with its executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 @query("csv_round_trip", "select c_custkey, c_name, c_nationkey from customer")

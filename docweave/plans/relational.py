@@ -264,12 +264,10 @@ def reply_clean(spark, sf):
 @query("stream_latest", "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as step from events group by 1")
 def stream_latest(spark, sf):
     """The last step of each user, from a stream over the events' files that takes what is there."""
-    import uuid
-
+    from docweave.functions.shared import shared_path
     from docweave.streaming import jobs
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared_path(spark, "stream")
     schema = Tables(spark, sf).events.schema
     rows = lambda df: df.select("user_id", "event_id", F.col("event_type").alias("step"))
     work = lambda df, n: jobs.latest(rows(df), "user_id", "event_id", ["step"]).write.mode("overwrite").parquet(f"{place}/out/batch={n}")
