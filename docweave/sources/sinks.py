@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.functions.shared import shared_path
 from docweave.operators.predicates import matching
 
 
@@ -24,6 +25,11 @@ def _rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot move {old} to {new}")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def rewrite(rows: DataFrame, path: str) -> None:
     """Replace a table by rows that may come from it."""
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
@@ -83,14 +89,20 @@ def import_rows(rows: DataFrame, order: str, reason, good: str, bad: str, batch:
     """Import in numbered batches from ``start`` on; rows with a reason go to a dead-letter CSV (SNK10-11).
 
     Returns (batch, ok, failed). ``reason`` is a Column, null for good rows. Batches are numbered
-    by counting rows per range of the order first, so no task holds all rows.
+    by counting rows per range of the order first, nulls last, so no task holds all rows. Ranges and
+    numbers are written once: bounds are sampled and ranges merged anew each time a plan runs.
     """
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    spark, first = rows.sparkSession, F.asc_nulls_last(order)
+    ranges, numbered = shared_path(spark, "ranges"), shared_path(spark, "numbered")
+    rows.repartitionByRange(first).withColumns({"_p": F.spark_partition_id(), "reason": reason.cast("string")}).write.parquet(ranges)
+    parts = spark.read.parquet(ranges)
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     offset = sizes.withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).drop("_c")
-    n = F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_o") - 1
-    marked = parts.join(F.broadcast(offset), "_p").withColumns({"batch": F.floor(n / batch), "reason": reason}).drop("_p", "_o")
-    marked = marked.where(F.col("batch") >= start)
+    n = F.row_number().over(Window.partitionBy("_p").orderBy(first)) + F.col("_o") - 1
+    marked = parts.join(F.broadcast(offset), "_p").withColumn("batch", F.floor(n / batch)).drop("_p", "_o")
+    marked.where(F.col("batch") >= start).write.parquet(numbered)
+    _delete(spark, ranges)
+    marked = spark.read.parquet(numbered)
     marked.where("reason is null").drop("batch", "reason").write.mode("append").parquet(good)
     marked.where("reason is not null").drop("batch").write.mode("append").csv(bad, header=True)
     return marked.groupBy("batch").agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("ok"), F.count("reason").alias("failed"))

@@ -44,6 +44,26 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{path}-good").count() == 147
 
 
+def test_import_of_many_ranges(spark, tmp_path):
+    """Batches are numbered through all ranges of the order, nulls last, and the sinks hold what is counted."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        id_ = F.when(F.col("id") < 20_000, (F.col("id") * 7_919) % 20_000)
+        many = spark.range(20_050, numPartitions=4).select(id_.alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        counts = sinks.import_rows(many, "id", F.when((F.col("id") % 50 == 7) & (F.length("v") == 64), "seven"), str(tmp_path / "good"), str(tmp_path / "bad"), start=1)
+        got = sorted(map(tuple, counts.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(b, 98, 2) for b in range(1, 200)] + [(200, 50, 0)]
+    good, bad = spark.read.parquet(str(tmp_path / "good")), spark.read.csv(str(tmp_path / "bad"), header=True)
+    assert (good.count(), good.distinct().count(), good.agg(F.min("id")).first()[0]) == (98 * 199 + 50, 98 * 199 + 50, 100)
+    assert (bad.count(), bad.distinct().count()) == (2 * 199, 2 * 199)
+
+
 def test_graph_sinks(spark):
     nodes = spark.createDataFrame([("a", "d1"), ("b", "d1"), ("c", "d2")], "id string, doc_id string")
     edges = spark.createDataFrame([("a", "b", "INCLUDE"), ("b", "c", "ODD"), ("a", "x", "INCLUDE")], "src string, dst string, type string")
