@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docweave.functions import nearest
 from docweave.functions.sized import small_side
-from docweave.functions.vectors import clipped, dot, norm
 
 #: Decimals to which scores are compared, so that the order of additions cannot decide a rank.
 DIGITS = 6
@@ -19,13 +21,41 @@ def best(scored: DataFrame, k: int, by: str = "qid", id_: str = "id", score: str
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(qid, id, score, rank) by cosine; queries (qid, vec), vectors (id, vec, ...); the filter comes first."""
+    """(qid, id, score, rank) by cosine; queries (qid, vec), vectors (id, vec, ...); the filter comes first.
+
+    Every task keeps the k best of its vectors for each query, so that no row stands for a pair. Queries
+    are broadcast in blocks of ``nearest.BLOCK`` values; each block is a pass over the vectors.
+    """
     if where is not None:
         vectors = vectors.where(where)
-    q = small_side(queries.select("qid", F.col("vec").alias("qvec"), norm("vec").alias("qnorm")))
-    v = vectors.select("id", "vec", norm("vec").alias("vnorm"))
-    score = F.round(clipped(dot("qvec", "vec"), F.col("qnorm"), F.col("vnorm")), DIGITS)
-    return best(v.join(q, how="cross").select("qid", "id", score.alias("score")), k)
+    spark = queries.sparkSession
+    q = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"))
+    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    passes = max(1, -(-n * max(width or 0, k) // nearest.BLOCK))
+    spread = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).repartition(spark.sparkContext.defaultParallelism)
+    spread = spread.sortWithinPartitions("id")
+    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("id", spread.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    found = None
+    for i in range(passes):
+        part = q if passes == 1 else q.where(F.pmod(F.xxhash64("qid", "vec"), F.lit(passes)) == i)
+        one = _searched(spread, part, k, schema)
+        found = one if found is None else found.unionByName(one)
+    return best(found, k)
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """(qid, id, score): the k best of each query in each partition of the sorted vectors."""
+    table = queries.toArrow().combine_chunks()  # a block
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
+    held = vectors.sparkSession.sparkContext.broadcast((columns[0], nearest.blocks_of(columns[1])))
+    digits = DIGITS
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        yield from nearest.search(batches, *held.value, k, digits, to_arrow_schema(schema))
+
+    return vectors.mapInArrow(run, schema)
 
 
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, drop_ratio: float = 0.0) -> DataFrame:
