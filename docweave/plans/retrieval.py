@@ -141,9 +141,10 @@ select round(avg(coalesce(1.0 / first, 0)), 9) as mrr, round(avg((hits > 0)::int
 )
 def retrieval_metrics(spark, sf):
     q, v = embeddings(Tables(spark, sf))
+    several = v.groupBy(F.col("label").alias("qlabel")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    q = q.join(several, "qlabel", "left_semi")  # the averages are over queries with a relevant item
     hits = vector.best(vector.dense_topk(q, v, TOP + 1).where("id <> qid").drop("rank"), TOP)
-    relevant = q.join(v, F.col("label") == F.col("qlabel")).where("id <> qid").select("qid", "id")
-    return metrics.metrics(q, hits, relevant, TOP).select(*[F.round(c, 9).alias(c) for c in ("mrr", "hit_rate", "ndcg", "precision", "recall")])
+    return metrics.same_label(q.withColumnRenamed("qlabel", "label"), hits, v, TOP).select(*[F.round(c, 9).alias(c) for c in ("mrr", "hit_rate", "ndcg", "precision", "recall")])
 
 
 PAIRS_SQL = "with p as (select conv_id, turn, text as a, lead(text) over (partition by conv_id order by turn) as b from conversations)"

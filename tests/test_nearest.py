@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +48,14 @@ def test_few_vectors_and_half(spark):
 def test_no_row_for_a_pair(spark):
     text = plan(__spark_entry__.queries()["vec_dense_topk"](spark, SF))
     assert "Join" not in text
+
+
+def test_metrics_over_queries_with_relevant_items(spark, tmp_path):
+    """Label 7 has one vector, a query: it has nothing relevant, and the SQL leaves it out."""
+    spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("label", F.expr("case vec_id when 20 then 7 else vec_id % 3 end")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = __spark_entry__.queries()["metrics_at_k"](spark, str(tmp_path))
+    assert "Join Cross" not in plan(df) and "Join Inner\n" not in plan(df)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"select {', '.join(df.columns)} from ({__spark_entry__.oracle_sql()['metrics_at_k']})").fetchall()[0]
+    assert tuple(df.first()) == pytest.approx(want, abs=1e-9)
