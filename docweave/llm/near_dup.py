@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import components
-from docweave.llm.tables import cut, map_text, release, sized, small, whole_id
+from docweave.llm.tables import cut, map_text, release, sized, small, trim, whole_id
 from docweave.llm.words import distinct, mix, scan, spaced, windows
 
 #: Words of a shingle, and similarity in hundredths from which documents are linked.
@@ -34,6 +34,8 @@ LIST = 32
 PIVOTS = 4
 #: Pivots of a longer list.
 AROUND = 8
+#: Sketches that a task takes apart at once.
+ROWS = 1_000
 #: Standard deviations of the estimate that a pair may lie below the similarity.
 SLACK = 6
 
@@ -74,8 +76,19 @@ def _first_values(ids, sizes, sketches, values: np.ndarray, lengths: np.ndarray,
         length = np.where(values[at] == s, lengths[at], 0) if len(values) else np.zeros(len(s), np.int64)
         by = np.lexsort((s, length))[: len(s) - need(n, k, percent) + 1]
         often = by[length[by] > 0]
-        rare = [{"value": v, "long": False} for v in s[by[: len(by) - len(often)]].tolist()]
-        yield i, n, int((length > 0).sum()), rare + [{"value": v, "long": True} for v in s[often[-PIVOTS:]].tolist()]
+        rare = by[: len(by) - len(often)]
+        yield i, n, int((length > 0).sum()), s[np.concatenate([rare, often[-PIVOTS:]])], len(rare)
+
+
+def _first_rows(batch: pa.RecordBatch, values: np.ndarray, lengths: np.ndarray, k: int, percent: int) -> pa.RecordBatch:
+    """(id, n, common, first) of rows (id, n, sketch)."""
+    rows = list(_first_values(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), values, lengths, k, percent))
+    ids, sizes, common, found, rare = zip(*rows, strict=True)
+    counts = [len(x) for x in found]
+    long = np.concatenate([np.arange(c) >= r for c, r in zip(counts, rare, strict=True)])
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(long)], ["value", "long"])
+    first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pairs)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(common, pa.int32()), first], names=["id", "n", "common", "first"])
 
 
 def list_rows(reps: DataFrame, popular: DataFrame, k: int, percent: int) -> DataFrame:
@@ -83,12 +96,12 @@ def list_rows(reps: DataFrame, popular: DataFrame, k: int, percent: int) -> Data
     if small(popular):
         table = popular.orderBy("value").toArrow()  # bounded by small()
         held = reps.sparkSession.sparkContext.broadcast((np.asarray(table["value"], np.int64), np.asarray(table["n"], np.int64)))
-        shape = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("value", pa.int64()), ("long", pa.bool_())]))]
 
         def run(batches):
             for b in batches:
-                rows = list(_first_values(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), *held.value, k, percent))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(shape)], names=["id", "n", "common", "first"])
+                for at in range(0, b.num_rows, ROWS):
+                    yield _first_rows(b.slice(at, ROWS), *held.value, k, percent)
+            trim()
 
         return reps.select("id", "n", "sketch").mapInArrow(run, "id bigint, n bigint, common int, first array<struct<value: bigint, long: boolean>>").select("id", "n", "common", F.inline("first"))
     rows = reps.select("id", "n", F.explode("sketch").alias("value")).join(popular.select("value", F.col("n").alias("length")), "value", "left")
