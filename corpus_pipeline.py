@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontam, forced_bpe, near_dup, pii, quality
-from docweave.llm.tables import cut, made, release, release_since, rewritten, sized
+from docweave.llm.tables import cut, made, release, release_since, sized
 
 
 def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -20,6 +20,13 @@ def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def renamed(rows: DataFrame, docs: DataFrame, at: dict[str, str]) -> DataFrame:
+    """The columns of docs from rows under plain() names; n_chars counts the new texts."""
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
+    return rows.select(list(at.values())).toDF(*docs.columns)
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; lines that a host's documents share go from the rest.
 
@@ -27,8 +34,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id are documents like others. A null source is a host of its own.
     """
     rows, at = plain(docs)
-    found = quality.apply_rules(rows, text=at["text"], host=at["source"]).where("kept")
-    return rewritten(found, at["text"], quality.without_lines, "common_lines", rows.columns, at.get("n_chars")).toDF(*docs.columns)
+    return renamed(quality.apply_rules(rows, text=at["text"], host=at["source"], rewrite=True).where("kept"), docs, at)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +69,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced. All rows stay; null texts stay null."""
     rows, at = plain(docs)
-    found = pii.find_private(rows, text=at["text"], keep=rows.columns)
-    return rewritten(found, at["text"], pii.sanitise, "spans", rows.columns, at.get("n_chars")).toDF(*docs.columns)
+    return renamed(pii.find_private(rows, text=at["text"], keep=rows.columns, rewrite=True), docs, at)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.tables import chunks, cut, map_text, release, sized
+from docweave.llm.tables import chunks, cut, map_text, release, rewritten, sized
 from docweave.llm.words import rows_of, scan
 
 KINDS = ("email", "ip", "card", "phone")
@@ -212,21 +212,30 @@ def spans_of(texts: pa.Array, sets: list) -> list:
     return [out]
 
 
-def find_private(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_private(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, rewrite: bool = False) -> DataFrame:
     """Spans of personal data and of the terms that disclose it, in every whole text.
 
     Returns the ``keep`` columns (all but the text by default) and spans, an array of (kind,
     start, end) in code points, end exclusive: email, ip, card, phone, generalised, removed, each
     by start. Null and empty texts have none. Terms are looked for in blocks of MAX_TERMS, one
-    pass each. Repeated texts count once; extra columns have no part.
+    pass each. Repeated texts count once; extra columns have no part. With ``rewrite``, the text
+    among the ``keep`` columns is the sanitised one.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    rewrite = rewrite and text in keep
     told = cut(revealing_terms(docs, text=text, min_support=min_support, generalise=generalise, remove=remove), "terms")
     spark, sets = docs.sparkSession, list(_blocks(told, ["removed"]))
     release(told)
     fields = "spans array<struct<kind: string, start: bigint, end: bigint>>"
     held = spark.sparkContext.broadcast([(w, r, filter_of(w)) for w, r in sets[:1]])
     carried = [text] if len(sets) > 1 and text not in keep else []
+    if rewrite and len(sets) < 2:  # in the same pass: a second one would start as many Python workers again
+
+        def both(texts):
+            found = spans_of(texts, held.value)
+            return [*found, list(map(sanitise, texts.to_pylist(), *found))]
+
+        return map_text(docs, text, keep, f"{fields}, `{text}` string", both).select(*[F.col(f"`{c}`") for c in keep if c.lower() != "spans"], "spans")
     out = map_text(docs, text, [*keep, *carried], fields, lambda t: spans_of(t, held.value))
     for i, (w, r) in enumerate(sets[1:], 2):
         more = spark.sparkContext.broadcast([(w, r, filter_of(w))])
@@ -234,7 +243,7 @@ def find_private(docs: DataFrame, *, text: str = "text", keep: list[str] | None
         told = lambda c: F.filter(c, lambda x: x["kind"].isin("generalised", "removed"))
         base = F.filter("_s", lambda x: x["kind"].isin(*KINDS))
         out = out.withColumn("spans", F.concat(base, F.array_sort(F.concat(told("_s"), told("spans"))))).drop("_s")
-    return out
+    return rewritten(out, text, sanitise, "spans") if rewrite else out
 
 
 def sanitise(text: str | None, spans: list) -> str | None:

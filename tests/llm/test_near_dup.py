@@ -68,3 +68,27 @@ def test_first_rows_hold_no_python_objects():
         often = [v for v in first if v in held][-near_dup.PIVOTS :]
         assert row["first"] == [{"value": v, "long": False} for v in first if v not in held] + [{"value": v, "long": True} for v in often]
         assert row["common"] == sum(v in held for v in s)
+
+
+def test_components_of_few_links_write_two_tables(spark, monkeypatch):
+    """Few links are labelled on the driver; the rounds in tables give the same."""
+    from docweave.llm import graph
+
+    r = random.Random(3)
+    chain = [(i, i + 1) for i in range(300, 340)]
+    star = [(7, i) for i in range(100, 160)]
+    links = [*chain, *star, (5, 5), (9, 8), *((r.randrange(400, 600), r.randrange(400, 600)) for _ in range(150))]
+    r.shuffle(links)
+    low: dict[int, int] = {i: i for x in links for i in x if x[0] != x[1]}
+    for _ in low:
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or cut(df, name))
+    assert {x.id: x.component for x in graph.components(table, spark).collect()} == low
+    assert written == ["links", "labels"]
+    assert {x.id: x.component for x in graph.components(table, spark, few=0).collect()} == low
+    assert len(written) > 4
+    assert graph.components(table.limit(0), spark).collect() == []

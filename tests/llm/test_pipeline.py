@@ -55,3 +55,31 @@ def test_stage_edges(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
     twice = docs.where("doc_id = 5")  # ids repeat: the least text stays
     assert [r.text for r in corpus_pipeline.unique(spark, twice, SF).collect()] == ["another " + prose]
+
+
+def test_one_pass_of_python_a_stage(spark):
+    """A stage's tasks start a Python worker for each mapInArrow: rules and replacements share one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.rules, corpus_pipeline.private):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, stage.__name__
+
+
+def test_texts_are_rewritten_in_every_way(spark, monkeypatch):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f"{body(i)}\nshared line\n\nown{i} line\nshared  LINE", "h" if i % 2 else None) for i in range(50)] + [(90, None, "h"), (91, "", None)]
+    docs = spark.createDataFrame(rows, "id int, `the text` string, source string")
+    for limit in (200_000, 0):  # common lines are broadcast or joined
+        got = {r.id: r for r in quality.apply_rules(docs, text="the text", rewrite=True, max_broadcast=limit).collect()}
+        assert len(got) == 52 and got[0].common_lines == [1, 3]
+        assert {i: r["the text"] for i, r in got.items()} == {i: quality.without_lines(t, got[i].common_lines) for i, t, _ in rows}
+        assert got[0]["the text"] == f"{body(0)}\n\nown0 line" and got[0].n_common_words == 4
+    rows = [(i, f"{' '.join(f'f{i}x{j}' for j in range(9))} zebra quagga mail{i % 2}@b.org okapi, tapir") for i in range(8)] + [(8, None), (9, "zebra alone")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    wants = {r.id: pii.sanitise(r.text, r.spans) for r in pii.find_private(docs, keep=["id", "text"]).collect()}
+    assert any("<EMAIL>" in (t or "") for t in wants.values())
+    for most in (pii.MAX_TERMS, 1):  # one block of terms or several
+        monkeypatch.setattr(pii, "MAX_TERMS", most)
+        got = pii.find_private(docs, keep=["id", "text"], rewrite=True)
+        assert got.columns == ["id", "text", "spans"]
+        assert {r.id: r.text for r in got.collect()} == wants
